@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files
+from . import histogram_shards, token_files
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal bytes."""
+    got = histogram_shards.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, Workspace(spark, "op4"))
+    return got.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     ws = Workspace(spark, "op9")
@@ -22,7 +36,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_files": op9_token_files}
+    return {
+        "op4_histogram_shards": op4_histogram_shards,
+        "op9_token_files": op9_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

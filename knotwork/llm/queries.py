@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_shards, token_files
+from . import histogram_shards, token_files, warc
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
@@ -28,6 +28,13 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, then read back through the capture index."""
+    ws, pages = Workspace(spark, "op5"), table(spark, sf_dir, "pages")
+    warc.index(warc.write(pages, ws), ws)
+    return warc.fetch(pages.select("url", "page_id"), ws)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     ws = Workspace(spark, "op9")
@@ -38,6 +45,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_histogram_shards": op4_histogram_shards,
+        "op5_warc": op5_warc,
         "op9_token_files": op9_token_files,
     }
 

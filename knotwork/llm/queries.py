@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_shards, token_files, warc
+from . import histogram_shards, pii, quality, token_files, warc
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        F.col("_good").cast("int").alias("predicted"),
+    )
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     got = histogram_shards.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, Workspace(spark, "op4"))
@@ -35,6 +46,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fetch(pages.select("url", "page_id"), ws)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     ws = Workspace(spark, "op9")
@@ -44,8 +60,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op4_histogram_shards": op4_histogram_shards,
         "op5_warc": op5_warc,
+        "op8_pii": op8_pii,
         "op9_token_files": op9_token_files,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_shards, pii, quality, token_files, warc
+from . import histogram_shards, pii, posting_lists, quality, token_files, warc
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
@@ -25,6 +25,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth embedding."""
+    return posting_lists.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, Workspace(spark, "op3"))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     got = histogram_shards.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, Workspace(spark, "op4"))
@@ -61,6 +66,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op3_posting_lists": op3_posting_lists,
         "op4_histogram_shards": op4_histogram_shards,
         "op5_warc": op5_warc,
         "op8_pii": op8_pii,

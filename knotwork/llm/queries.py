@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, histogram_shards, pii, posting_lists, quality, token_files, warc
+from . import decontaminate, histogram_shards, near_dup, pii, posting_lists, quality, token_files, warc
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
@@ -51,6 +51,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fetch(pages.select("url", "page_id"), ws)
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that all documents hold."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op7"))
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_posting_lists": op3_posting_lists,
         "op4_histogram_shards": op4_histogram_shards,
         "op5_warc": op5_warc,
+        "op6_near_dup": op6_near_dup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pii": op8_pii,
         "op9_token_files": op9_token_files,

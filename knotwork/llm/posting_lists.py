@@ -12,7 +12,8 @@ for queries; so nearest centroids are those of the largest inner products, whate
 Scale: the sample is at most ``SAMPLE`` rows and ``SAMPLE_NUMBERS`` numbers, centroids at most
 ``SAMPLE / 16``: what is broadcast doesn't grow with the input. Long lists are dealt out in parts of
 ``PART`` vectors and ``ASK`` queries, so a vector that a third of the rows repeat makes many tasks, not a
-long one. Each part returns at most k rows per query.
+long one. Each part returns at most k rows per query, and none that score below the query's k-th best
+row of the sample in its lists: those can't be among the k nearest found.
 
 Defined cases: vectors that are null, zero, or hold a null or a number that isn't finite take no part,
 neither do those of another length than the most common one; a null vec_id takes no part; a vec_id that
@@ -152,8 +153,19 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of ``x`` for each query, own ids excepted: query ids, ids, exact scores."""
+def floor_of(scores: np.ndarray, k: int) -> float:
+    """What the k-th best of ``scores`` is, less a rounding error and a few ranks; no bound where there are fewer.
+
+    The ranks make up for rounding that puts a row on the boundary in one list here and in another there."""
+    k += 4
+    if len(scores) < k:
+        return -np.inf
+    low = np.partition(scores, -k)[-k]
+    return float(low - 1e-9 * (1 + abs(low))) if np.isfinite(low) else -np.inf
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of ``x`` for each query, own ids and scores below ``low`` excepted: query ids, ids, exact scores."""
     out = []
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
@@ -161,7 +173,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         cut = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
         # whatever rounding could put among the k best is compared exactly
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
-        a, b = np.nonzero((s >= (cut - slack)[:, None]) & np.isfinite(s))
+        a, b = np.nonzero((s >= np.maximum(cut - slack, low[i : i + 256])[:, None]) & np.isfinite(s))
         e = exact_scores(q[i + a], x[b])
         order = np.lexsort((ids[b], -e, a))
         a, b, e = a[order], b[order], e[order]
@@ -181,19 +193,21 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataF
     if not about["n"]:
         return spark.createDataFrame([], kind)
     m2, most = float(about["m2"]), min(SAMPLE, max(64, SAMPLE_NUMBERS // about["d"]))
-    raw = _matrix(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("embedding").toArrow().column(0).combine_chunks())
+    taken = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "embedding").toArrow()
+    ids, first = np.unique(taken.column(0).to_numpy(), return_index=True)
+    raw = _matrix(taken.column(1).combine_chunks())[first]
     widen = lambda z: np.concatenate([z, np.sqrt(np.maximum(m2 - (z * z).sum(1, keepdims=True), 0))], 1)
     sample = widen(raw)
     n_lists = min(max(64 if about["n"] >= 4096 else 1, about["n"] // 400), max(1, len(sample) // 16))
     c = balanced_centroids(sample, n_lists)
     ratio = tune(sample, raw, c, k)
-    shared = spark.sparkContext.broadcast(Centroids(c))
+    shared = spark.sparkContext.broadcast((Centroids(c), ids, raw, _lists_of(sample, c)))
 
     def post(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             if not len(p):
                 continue
-            lists = _lists_of(widen(_matrix(p.column("embedding"))), shared.value.points)
+            lists = _lists_of(widen(_matrix(p.column("embedding"))), shared.value[0].points)
             row, copy = np.nonzero(lists >= 0)
             yield pa.record_batch([pa.array(lists[row, copy], pa.int32()), p.column("vec_id").take(pa.array(row)), p.column("embedding").take(pa.array(row))], ["list", "vec_id", "embedding"])
 
@@ -201,21 +215,26 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataF
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
+        g, ids, raw, lists_of = shared.value
         for p in parts:
             q = _matrix(p.column("embedding"))
-            rows, lists = [], []
+            q_ids = p.column("vec_id").to_numpy()
+            rows, lists, low = [], [], []
             for i, v in enumerate(q):
                 for least in (1, 8, 64, len(g.points)):
                     got = g.lists(np.append(v, 0.0), ratio, least)
                     if sum(sizes.get(j, 0) for j in got) > (k + 1) * COPIES or least >= len(g.points):
                         break
+                chosen = np.zeros(len(g.points) + 1, bool)
+                chosen[got] = True
+                near = np.flatnonzero(chosen[lists_of].any(1) & (ids != q_ids[i]))
+                low += [floor_of(raw[near] @ v, k)] * len(got)
                 lists += got
                 rows += [i] * len(got)
             at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(lists, pa.int32()), p.column("vec_id").take(at), p.column("embedding").take(at)], ["list", "vec_id", "embedding"])
+            yield pa.record_batch([pa.array(lists, pa.int32()), p.column("vec_id").take(at), pa.array(low, pa.float64()), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
 
-    asked = ws.save(own.where(is_query).mapInArrow(ask, "list int, vec_id long, embedding array<double>"), "asked")
+    asked = ws.save(own.where(is_query).mapInArrow(ask, "list int, vec_id long, low double, embedding array<double>"), "asked")
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = {i: (-(-n // PART), -(-asks.get(i, 0) // ASK)) for i, n in sizes.items()}
     table = lambda j: F.create_map(*(F.lit(y) for i, p in parts.items() for y in (i, p[j])))
@@ -229,7 +248,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataF
         names = ["query_id", "vec_id", "score"]
         if not len(x) or not len(q):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        found = best(*(z for t in (q, x) for z in (t.column("vec_id").to_numpy(), _matrix(t.column("embedding").combine_chunks()))), k)
+        (q_ids, qs), (ids, xs) = ((t.column("vec_id").to_numpy(), _matrix(t.column("embedding").combine_chunks())) for t in (q, x))
+        found = best(q_ids, qs, q.column("low").to_numpy(), ids, xs, k)
         return pa.table([pa.array(z) for z in found], names)
 
     keys = ("list", "part", "ask")

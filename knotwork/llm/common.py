@@ -83,3 +83,11 @@ def files_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def utf8_size(c):
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

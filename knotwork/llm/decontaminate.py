@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 SHINGLE, SIMILARITY, BITS, RADIUS, LITERALS = 5, 0.75, 64, 16, 20_000
 
@@ -121,16 +121,16 @@ def report(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, item_ids (those it holds, ascending), the greatest similarity."""
     found = _found(docs, benchmark, ws)
     every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key")).join(found, "_key", "left")
-    none = F.lit(None).cast("array<bigint>")
     return every.select(
         "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
-        F.coalesce(F.col("item_ids").cast("array<bigint>"), F.array().cast("array<bigint>"), none).alias("item_ids"),
+        F.coalesce(F.col("item_ids").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("item_ids"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    found = _found(docs, benchmark, ws).select("_key")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(found, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    found = _found(docs, benchmark, ws).select(F.col("_key").alias(key))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left_anti").select(*docs.columns)

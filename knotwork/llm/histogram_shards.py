@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import Workspace, utf8_size
+from .common import Workspace, fresh, utf8_size
 
 #: Candidates for each splitter and round; share of a shard's bytes that an edge may be off; pieces per shard.
 PROBES, TOLERANCE, PIECES = 24, 0.002, 16
@@ -109,14 +109,16 @@ def splitters(keys: DataFrame, n: int, tolerance: int, every: int = 1, loose: in
 
 def shards(docs: DataFrame, n: int, ws: Workspace, pieces: int = PIECES) -> DataFrame:
     """``docs`` with shard (0 to n - 1) and slot (gapless from 0 in each shard), dealt and sorted by shard
-    and slot; new columns: _size, _shard, _slot."""
+    and slot; new columns: _size, _shard, _slot, which replace any of those names."""
+    docs = docs.drop("_size", "_shard", "_slot")
+    h, d, at = (fresh(docs, x) for x in ("_h", "_d", "_piece"))
     keyed = docs.select(
         "*",
         (utf8_size(F.col("text")) + 1).alias("_size"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("_d"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias(h),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias(d),
     )
-    keys = ws.save(keyed.select(F.col("_h").alias("h"), F.col("_d").alias("d"), F.col("_size").alias("s")), "keys")
+    keys = ws.save(keyed.select(F.col(h).alias("h"), F.col(d).alias("d"), F.col("_size").alias("s")), "keys")
     total = keys.agg(F.sum("s")).first()[0] or 0
     m = n * pieces
     bounds, _, _ = splitters(keys, m, int(total / n * TOLERANCE), pieces, total // m // 8)
@@ -132,9 +134,9 @@ def shards(docs: DataFrame, n: int, ws: Workspace, pieces: int = PIECES) -> Data
     def piece(h: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(_below(bounds, h.to_numpy(), d.to_numpy()).astype(np.int32))
 
-    cut = keyed.withColumn("_piece", piece("_h", "_d") if bounds else F.lit(0))
-    dealt = cut.repartitionById(m, F.col("_piece")).sortWithinPartitions("_piece", "_h", "_d")
+    cut = keyed.withColumn(at, piece(h, d) if bounds else F.lit(0))
+    dealt = cut.repartitionById(m, F.col(at)).sortWithinPartitions(at, h, d)
     # all rows of a piece are in one partition and sorted, so the row's place is a running number there
     place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    start = F.element_at(F.array(*map(F.lit, offsets)), F.col("_piece") + 1)
-    return dealt.select(*docs.columns, "_size", F.floor(F.col("_piece") / pieces).cast("int").alias("_shard"), (place + start).cast("long").alias("_slot"))
+    start = F.element_at(F.array(*map(F.lit, offsets)), F.col(at) + 1)
+    return dealt.select(*docs.columns, "_size", F.floor(F.col(at) / pieces).cast("int").alias("_shard"), (place + start).cast("long").alias("_slot"))

@@ -199,3 +199,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     every = sk.join(of, "mark", "left")
     component = F.coalesce("component", F.col("doc_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` with one document of each group: the one with the least doc_id. Rows without a doc_id all stay.
+
+    Should rows repeat a doc_id, each of its texts stays once."""
+    found = ws.save(near_duplicates(docs, ws), "found")
+    gone = ws.save(found.where("not kept").select("doc_id").distinct(), "gone")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return rest
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(rest.where("doc_id is null"))

@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with _score (double) and _good (score at least 0.5)."""
+    """``docs`` with _score (double) and _good (score at least 0.5), which replace any columns of those names."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     vectors, net = train(docs, labels, rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, histogram_shards, near_dup, pii, posting_lists, quality, token_files, warc
+from . import decontaminate, histogram_shards, near_dup, perspectives, pii, posting_lists, quality, sp_backend, token_files, warc
 from .common import Workspace, table
 
 #: The folder of the public vocabularies; a parameter of every query that needs one.
@@ -25,6 +25,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from every participant's perspective; the mask as text."""
+    got = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    return got.withColumn("mask", F.expr("array_join(transform(mask, s -> concat(s[0], ':', s[1])), ',')"))
+
+
 def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth embedding."""
     return posting_lists.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, Workspace(spark, "op3"))
@@ -73,9 +79,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, ws, manifest)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in SentencePiece ids, with parity and round trip checked."""
+    return sp_backend.digests(sp_backend.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_perspectives": op2_perspectives,
         "op3_posting_lists": op3_posting_lists,
         "op4_histogram_shards": op4_histogram_shards,
         "op5_warc": op5_warc,
@@ -83,8 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op8_pii": op8_pii,
         "op9_token_files": op9_token_files,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_perspectives": perspectives.oracle()}

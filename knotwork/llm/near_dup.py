@@ -10,7 +10,7 @@ classes pairs them all. A pair without a common cold value shares hot ones alone
 hot values are at least three quarters of both sets; classes with that many in their sketch (``HOT_SHARE``,
 below 0.75 by over three standard deviations) are matched within hot lists, where each list's leader meets
 all its members. Classes that the leaders leave outside the list's component are then compared with all
-members, sketch by sketch, in blocks: that is exact, and needs no pair table.
+members, full set by full set, in blocks: that is exact, and needs no pair table.
 
 Scale: sketches have ``K`` numbers a document. List sizes come from partial aggregates; hot values and
 large classes are joined with skew handling. Full sets are only built for documents in likely pairs.
@@ -38,7 +38,7 @@ from .components import components
 from .shingling import shingles
 
 WORDS, PERCENT = 5, 75
-K, USED, COLD, LIKELY, HOT_SHARE, BLOCK = 64, 32, 32, 0.5, 0.55, 2048
+K, USED, COLD, LIKELY, HOT_SHARE, BLOCK = 64, 32, 32, 0.5, 0.55, 512
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -111,49 +111,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(linked("sa", "sb")).select("a", "b")
 
 
+def _find(parent: dict, x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
 def residual(rest: DataFrame, members: DataFrame) -> DataFrame:
-    """Likely pairs of ``rest`` with ``members`` (lead, id, root, sketch) of the same leader but another component.
+    """Links of ``rest`` with ``members`` (lead, id, root, set) of the same leader but another component.
 
-    A leader's members are dealt into blocks; every block meets that leader's rest, in blocks too."""
-    kind = "a long, b long"
+    A leader's members are dealt into blocks; every block meets that leader's rest, in blocks too. Inverted
+    lists of a block's full sets count all intersections; of the links found only those are returned that join
+    components which the block's other links don't, so a block returns fewer rows than it has members."""
+    kind, n = "a long, b long", 4 * rest.sparkSession.sparkContext.defaultParallelism
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
     m = members.groupBy("lead").agg(F.count(F.lit(1)).alias("n_m"))
     r = rest.groupBy("lead").agg(F.count(F.lit(1)).alias("n_r"))
     size = r.join(m, "lead").select("lead", cut(F.col("n_m")).alias("k_m"), cut(F.col("n_r")).alias("k_r"))
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = rest.join(size, "lead").withColumn("i", own("k_r")).withColumn("j", every("k_m")).select("lead", "i", "j", "id", "root", "sketch")
-    right = members.join(size, "lead").withColumn("j", own("k_m")).withColumn("i", every("k_r")).select("lead", "i", "j", "id", "root", "sketch")
+    keys = ("lead", "i", "j")
+    left = rest.join(size, "lead").withColumn("i", own("k_r")).withColumn("j", every("k_m")).select(*keys, "id", "root", "set").repartition(n, *keys)
+    right = members.join(size, "lead").withColumn("j", own("k_m")).withColumn("i", every("k_r")).select(*keys, "id", "root", "set").repartition(n, *keys)
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, parent = [], {}
         if len(x) and len(y):
-            values = np.concatenate([_unsigned(s) for s in y["sketch"]])
-            owner = np.repeat(np.arange(len(y)), [len(s) for s in y["sketch"]])
+            sets = [np.frombuffer(s, np.uint64) for s in y["set"]]
+            sizes, ids, roots = np.array([len(s) for s in sets]), y["id"].to_numpy(), y["root"].to_numpy()
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), sizes)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
-            sketches_, ids, roots = [_unsigned(s) for s in y["sketch"]], y["id"].to_numpy(), y["root"].to_numpy()
-            for i, root, s in zip(x["id"], x["root"], x["sketch"], strict=True):
-                s = _unsigned(s)
+            for i, root, s in zip(x["id"], x["root"], x["set"], strict=True):
+                s = np.frombuffer(s, np.uint64)
                 a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                hits = np.bincount(np.concatenate([owner[p:q] for p, q in zip(a, b, strict=True)]), minlength=len(y))
-                for j in np.flatnonzero((hits * 3 >= len(s)) & (roots != root)):
-                    if estimate(s, sketches_[j]) >= LIKELY:
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+                common = np.bincount(owner[at], minlength=len(y))
+                for j in np.flatnonzero((100 * common >= PERCENT * (len(s) + sizes - common)) & (roots != root)):
+                    p, q = _find(parent, root), _find(parent, roots[j])
+                    if p != q:
+                        parent[p] = q
                         out.append((min(i, ids[j]), max(i, ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    keys = ("lead", "i", "j")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, kind)
 
 
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set): the full sets of the classes in ``wanted`` (id)."""
+    marks = wanted.join(classes.select("id", "mark"), "id")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(marks, "id")
+    # a repeated doc_id can have other texts: the digest tells which one is the class's
+    return full_sets(own.select("id", "text")).join(marks, "id").where(_digest("set") == F.col("mark")).select("id", "set").dropDuplicates(["id"])
+
+
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """The links among candidate ``pairs`` of ``classes``."""
     close = ws.save(likely(pairs, classes), f"{name}-likely")
     wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    marks = wanted.join(classes.select("id", "mark"), "id")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(marks, "id")
-    # a repeated doc_id can have other texts: the digest tells which one is the class's
-    sets = ws.save(full_sets(own.select("id", "text")).join(marks, "id").where(_digest("set") == F.col("mark")).select("id", "set").dropDuplicates(["id"]), f"{name}-sets")
+    sets = ws.save(_sets(docs, classes, wanted), f"{name}-sets")
     return ws.save(confirmed(close, sets), f"{name}-links")
 
 
@@ -187,11 +203,13 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     roots = components(links, ws, "first")
     if not stars.isEmpty():
         root = F.coalesce("root", F.col("id")).alias("root")
-        members = stars.join(roots, "id", "left").select("lead", "id", root).join(classes.select("id", "sketch"), "id")
-        members = ws.save(members, "members")
+        members = ws.save(stars.join(roots, "id", "left").select("lead", "id", root), "members")
         led = members.where("lead = id").select("lead", F.col("root").alias("lead_root"))
         rest = ws.save(members.join(led, "lead").where("root <> lead_root").drop("lead_root"), "rest")
-        more = _linked(docs, classes, residual(rest, members).distinct(), ws, "second")
+        near = members.join(rest.select("lead").distinct(), "lead", "left_semi")
+        sets = ws.save(_sets(docs, classes, near.select("id").distinct()), "hot-sets")
+        rest, near = ws.save(rest.join(sets, "id"), "rest-sets"), ws.save(near.join(sets, "id"), "near-sets")
+        more = ws.save(residual(rest, near).distinct(), "second-links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, ws, "second")

@@ -128,6 +128,7 @@ class Backend:
 
     def __init__(self, data: bytes, check: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.model = m = parse(data)
         self.part, self.normalizer = build(m, whole=False)
         longer = [p for p, _, t in m.pieces if t == NORMAL and len(p) > 1]
@@ -142,7 +143,7 @@ class Backend:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.memo = WordMemo(self._encode, self.split, self.typecode)
+        self.memo = WordMemo(self._encode, self.split, self.typecode, 200_000)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b"" if t == CONTROL else b" \xe2\x81\x87 " for p, _, t in m.pieces]
 
     def _encode(self, parts: list[bytes]) -> list[list[int]]:
@@ -188,13 +189,18 @@ def backend(path: str, check: bool = True) -> Backend:
     return _backends[key]
 
 
+def _size(text: pa.StringScalar) -> int:
+    return len(b) if (b := text.as_buffer()) else 0
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, ids, n_tokens, parity, and roundtrip (decoding gives the text)."""
     ship(docs.sparkSession)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = backend(path)
-        for p in parts:
+        # a few megabytes of text at a time: very long texts come alone
+        for p in (p.slice(s.start, s.stop - s.start) for p in parts for s in batches(p.column("text"), size=_size)):
             texts = [t or "" for t in p.column("text").to_pylist()]
             ids, same = own.encode(texts)
             back = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]

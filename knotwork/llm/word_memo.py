@@ -6,6 +6,10 @@ from array import array
 from collections.abc import Callable
 
 
+#: Words given to the tokenizer in one call.
+AT_ONCE = 10_000
+
+
 class WordMemo:
     """Ids of texts whose tokenizer never joins anything across a word's edge.
 
@@ -27,8 +31,11 @@ class WordMemo:
                 fresh.append(w)
             else:
                 self.young[w] = x
-        for w, ids in zip(fresh, self.encode_words(fresh) if fresh else [], strict=True):
-            self.young[w] = array(self.typecode, ids).tobytes()
+        # what a tokenizer returns for a word is many times its size: only some at a time
+        for i in range(0, len(fresh), AT_ONCE):
+            some = fresh[i : i + AT_ONCE]
+            for w, ids in zip(some, self.encode_words(some), strict=True):
+                self.young[w] = array(self.typecode, ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as the bytes of an array of ``typecode``."""
@@ -39,25 +46,28 @@ class WordMemo:
             words = self.split(t)
             parts = list(map(get, words))
             if None in parts:
-                open_.append((i, words))
-                unknown.update(w for w, x in zip(words, parts, strict=True) if x is None)
+                holes = [(j, words[j]) for j, x in enumerate(parts) if x is None]
+                unknown.update([w for _, w in holes])
+                open_.append((i, parts, holes))
                 out.append(b"")
             else:
                 out.append(b"".join(parts))
         self._learn(unknown)
-        sure = self.young.__getitem__
-        for i, words in open_:
-            out[i] = b"".join(map(sure, words))
+        sure = self.young
+        for i, parts, holes in open_:
+            for j, w in holes:
+                parts[j] = sure[w]
+            out[i] = b"".join(parts)
         return out
 
 
-def batches(texts: list, most_bytes: int = 4 << 20):
-    """Slices of ``texts`` (bytes) of about ``most_bytes``, so that very long texts come alone."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most_bytes:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def batches(texts, most_bytes: int = 4 << 20, size=len):
+    """Slices of ``texts`` of about ``most_bytes``, so that very long texts come alone."""
+    at = held = n = 0
+    for t in texts:
+        held, n = held + size(t), n + 1
+        if held >= most_bytes:
+            yield slice(at, n)
+            at, held = n, 0
+    if at < n:
+        yield slice(at, n)

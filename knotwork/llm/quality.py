@@ -34,7 +34,7 @@ from ..shipping import ship
 TRAIN_ROWS, TRAIN_CHARS = 6000, 65_536
 DIM, ROWS, WINDOW, HIDDEN, NONZERO = 64, 1 << 16, 2, 32, 6
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
-_ROOM = 300_000
+_ROOM = 150_000
 
 
 def held_out(doc_id) -> object:

@@ -37,6 +37,8 @@ MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -143,7 +145,7 @@ class Backend:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.memo = WordMemo(self._encode, self.split, self.typecode, 200_000)
+        self.memo = WordMemo(self._encode, self.split, self.typecode, 80_000)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b"" if t == CONTROL else b" \xe2\x81\x87 " for p, _, t in m.pieces]
 
     def _encode(self, parts: list[bytes]) -> list[list[int]]:
@@ -168,7 +170,7 @@ class Backend:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """The ids of each text (bytes of an array of ``typecode``), and whether the libraries agree on all its parts."""
         marked = [self._marked(t) for t in texts]
-        ids = [x for s in batches(marked) for x in self.memo.encode(marked[s])]
+        ids = [x for s in batches(marked, SLICE) for x in self.memo.encode(marked[s])]
         return ids, [not self.bad or self.bad.isdisjoint(self.split(t)) for t in marked]
 
     def decode(self, ids: bytes) -> str:
@@ -199,8 +201,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = backend(path)
-        # a few megabytes of text at a time: very long texts come alone
-        for p in (p.slice(s.start, s.stop - s.start) for p in parts for s in batches(p.column("text"), size=_size)):
+        # some text at a time: very long texts come alone
+        for p in (p.slice(s.start, s.stop - s.start) for p in parts for s in batches(p.column("text"), SLICE, _size)):
             texts = [t or "" for t in p.column("text").to_pylist()]
             ids, same = own.encode(texts)
             back = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]

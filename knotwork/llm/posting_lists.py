@@ -166,20 +166,29 @@ def floor_of(scores: np.ndarray, k: int) -> float:
 
 def best(q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of ``x`` for each query, own ids and scores below ``low`` excepted: query ids, ids, exact scores."""
-    out = []
+    out, order = [], np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    # an id that several rows have counts once, with its best score
+    first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
         s[q_ids[i : i + 256, None] == ids[None, :]] = -np.inf
-        cut = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        own = s if len(first) == len(ids) else np.maximum.reduceat(s, first, 1)
+        cut = np.partition(own, -k, 1)[:, -k] if own.shape[1] > k else np.full(len(s), -np.inf)
         # whatever rounding could put among the k best is compared exactly
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
         a, b = np.nonzero((s >= np.maximum(cut - slack, low[i : i + 256])[:, None]) & np.isfinite(s))
         e = exact_scores(q[i + a], x[b])
+        order = np.lexsort((-e, ids[b], a))
+        a, b, e = a[order], b[order], e[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (ids[b[1:]] != ids[b[:-1]])
+        a, b, e = a[once], b[once], e[once]
         order = np.lexsort((ids[b], -e, a))
         a, b, e = a[order], b[order], e[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
-        own = rank < k
-        out.append((q_ids[i + a[own]], ids[b[own]], e[own]))
+        top = rank < k
+        out.append((q_ids[i + a[top]], ids[b[top]], e[top]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))  # type: ignore[return-value]
 
 

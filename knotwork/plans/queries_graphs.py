@@ -88,11 +88,6 @@ def a09(spark, d):
     return g08(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g12_nearest_inherited", """SELECT 'brand' || substr(p_brand, 7) AS element, count(*) AS parts FROM part GROUP BY 1""")
-def g12(spark, d):
-    return table(spark, d, "part").groupBy(F.concat(F.lit("brand"), F.substring("p_brand", 7, 9)).alias("element")).agg(F.count(F.lit(1)).alias("parts"))
-
-
 _A, _B = "o_orderkey % 10 <> 0", "o_orderkey % 10 <> 1"
 
 

@@ -12,7 +12,8 @@ by the tasks that need it, never by the driver.
 
 Defined cases: a null html has an empty payload; empty payloads are deduplicated like others; a null url
 has the key ``-``; rows that repeat page_id and html give equal records, all of type response where that
-page_id is the least of its payload; a null page_id sorts before others; other columns are ignored; an empty table writes nothing.
+page_id is the least of its payload; a null page_id is only the least where no row of its payload has one; other columns are ignored;
+an empty table writes nothing.
 """
 
 from __future__ import annotations

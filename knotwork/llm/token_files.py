@@ -35,6 +35,21 @@ LENGTH, BATCH_ROWS, FILE_BYTES = 2048, 64, 48 << 20
 
 _encoders: dict = {}
 
+#: Marks after a word that the tokenizer takes for a token run of their own; Latin letters; words remembered without them.
+_MARKS = (".", ",", ";", ":", "!", "?", "!!", "...")
+_LATIN = "\u0250"
+_ROOM = 300_000
+
+
+def _cut(word: str) -> tuple[str, str]:
+    """A word as its letters in lower case and the mark after them, where the tokenizer is sure to part them so; else the word itself."""
+    core = word.rstrip(".,;:!?")
+    mark = word[len(core) :]
+    low = core.lower()
+    if core and (not mark or mark in _MARKS) and max(word) < _LATIN and core.isalpha() and low.isalpha():
+        return low, mark
+    return word, ""
+
 
 def word_encoder(path: str) -> tuple[WordMemo, str]:
     """This process's encoder for a vocabulary that drops white space, and its smallest id type.
@@ -48,8 +63,22 @@ def word_encoder(path: str) -> tuple[WordMemo, str]:
         t = Tokenizer.from_file(path)
         code = "H" if t.get_vocab_size() <= 1 << 16 else "I"
 
+        whole = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        marks = {m: ids for m, ids in zip(_MARKS, whole(list(_MARKS)), strict=True)}
+        cores: dict[str, list[int]] = {}
+        # a vocabulary that doesn't part letters from marks, or keeps case, is asked for whole words
+        parts = whole(["Word,"])[0] == whole(["word"])[0] + marks[","]
+
         def encode(words: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            texts = [w.decode() for w in words]
+            if not parts:
+                return whole(texts)
+            if len(cores) > _ROOM:
+                cores.clear()
+            cut = [_cut(x) for x in texts]
+            fresh = [c for c in dict.fromkeys(c for c, _ in cut) if c not in cores]
+            cores.update(zip(fresh, whole(fresh), strict=True))
+            return [cores[c] + marks[m] if m else cores[c] for c, m in cut]
 
         _encoders[path] = WordMemo(encode, bytes.split, code), code
     return _encoders[path]

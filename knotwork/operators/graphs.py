@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir; where none is set (one machine) to a temporary one."""
+    """``df`` written to the folder in spark.checkpoint.dir; where none is set (one machine) to a temporary one.
+
+    A checkpoint keeps its plan's estimated size, a product over all joins so far: it gets longer by a factor each
+    round until it takes minutes to multiply, or overflows. Made from its rows, the frame starts without one."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         if not sc.master.startswith("local"):
@@ -23,7 +26,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         own = tempfile.mkdtemp(prefix="knotwork-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
-    return df.checkpoint()
+    spark, done = df.sparkSession, df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -62,6 +62,28 @@ def test_graph_algorithms(spark):
         mutations.add_imports(up.toDF("importer", "imported"), spark.createDataFrame([("a", "e")], "importer string, imported string"))
 
 
+def test_components_brute(spark):
+    import random
+
+    r = random.Random(3)
+    name = [f"n{i}" for i in r.sample(range(1000), 400)]
+    pairs = [(name[i], name[i + 1]) for i in range(399) if i % 90 != 89] + [(r.choice(name[:80]), r.choice(name[:80])) for _ in range(20)]
+    root = {n: n for p in pairs for n in p}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {n: min(x, y) if c in (x, y) else c for n, c in root.items()}
+    got = graphs.components(spark.createDataFrame(pairs, "a string, b string"))
+    assert {tuple(x) for x in got.collect()} == set(root.items())
+
+
+def test_rounds_keep_estimates_small(spark):
+    df = spark.range(3).toDF("k")
+    for _ in range(6):
+        df = graphs.checkpointed(df.join(df.select("k"), "k").join(df.select("k"), "k"))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() <= 64
+    assert df.count() == 3
+
+
 def test_lists(spark):
     df = spark.createDataFrame([("_:l", ["a", "b"]), ("_:e", [])], "owner string, m array<string>")
     got = {tuple(r) for r in lists.build(df, "owner", "m").collect()}

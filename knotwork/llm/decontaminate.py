@@ -3,8 +3,9 @@
 Words are runs of letters and digits in lower case. For every benchmark item, windows of the item's own
 length slide over each document; a window and an item are alike where their five-word shingles, weighted
 by how often they occur, have a similarity of at least 0.75 (sum of the lesser weights over sum of the
-greater). Windows that share no shingle with any item have similarity 0, so only those around a shared one
-are cut out (at the place that puts that shingle where the item has it). Each window gets a 64-bit SimHash
+greater). Windows that share no shingle with any item have similarity 0, so only those that hold a shared one
+are cut out, wherever in the window it is, and of these only those that share so many that the similarity can
+be reached. Each window gets a 64-bit SimHash
 of its words; fingerprints are cut into ``RADIUS + 1`` blocks, and windows meet items of their length that
 agree in a whole block: by the pigeonhole principle, all those within ``RADIUS`` bits. Exact similarity
 then decides.
@@ -92,12 +93,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> DataFrame:
         hit = rows.select("_key", F.explode(F.expr(_doc_hashes(grams))).alias("h")).join(marks, "h", "left_semi").select("_key").distinct()
         found = rows.join(hit, "_key", "left_semi")
     found = ws.save(found.select("doc_id", "_key", words("text").alias("words")), "found").dropDuplicates(["_key"])
-    places = known.select("n", "g", F.posexplode("shingles").alias("at", "h")).distinct()
+    places = known.select("n", "g", F.explode("shingles").alias("h")).distinct()
     grams_of = F.array(*(F.struct(F.lit(g).alias("g"), F.expr(_shingles("words", g)).alias("hs")) for g in grams))
     seen = found.select("_key", F.size("words").alias("size"), F.explode(grams_of).alias("x"))
     seen = seen.select("_key", "size", F.col("x.g").alias("g"), F.posexplode("x.hs").alias("pos", "h")).join(places, ["g", "h"])
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n"))).alias("start")
-    cut = seen.select("_key", "n", "g", start).distinct()
+    first = F.least(F.greatest(F.lit(0), F.col("pos") - F.col("n") + F.col("g")), last := F.greatest(F.lit(0), F.col("size") - F.col("n")))
+    starts = seen.select("_key", "size", "n", "g", F.explode(F.sequence(first, F.least("pos", last))).alias("start"))
+    # one row per shared shingle; an item can't have more in common with a window than that
+    both = F.least("n", "size") + F.col("n") - 2 * F.col("g") + 2
+    enough = F.count(F.lit(1)) * (1 + SIMILARITY) >= SIMILARITY * both
+    cut = starts.groupBy("_key", "size", "n", "g", "start").agg(enough.alias("_enough")).where("_enough").select("_key", "n", "g", "start")
     window = found.join(cut, "_key").withColumn("window", F.expr("slice(words, start + 1, n)")).drop("words")
     window = ws.save(window, "windows")
     at = ["_key", "n", "start"]

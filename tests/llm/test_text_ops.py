@@ -116,6 +116,27 @@ def test_decontaminate(spark, odd_docs, no_docs):
     assert not any(x["contaminated"] for x in decontaminate.report(odd_docs, bench.limit(0), Workspace(spark, "t")).collect())
 
 
+def test_decontaminate_any_start(spark):
+    import random
+
+    r = random.Random(6)
+    own = [f"w{i}" for i in range(59)]
+    clean = [f"c{i}" for i in range(90)]
+    items = [(0, " ".join(own)), *((i, words(300 + i, 20 + 3 * i)) for i in range(1, 12))]
+    docs = [(0, " ".join([*clean[:40], *own[1:30], "x", "y", "z", *own[30:57], *clean[40:]]))]
+    for d in range(1, 80):  # passages with a part cut out and words put in elsewhere
+        p = r.choice(items)[1].split()
+        for _ in range(r.randint(1, 2)):
+            a, n = r.randrange(len(p)), r.randint(0, 4)
+            p = p[:a] + p[a + n :]
+            a = r.randrange(len(p))
+            p = p[:a] + r.sample(clean, r.randint(0, 4)) + p[a:]
+        docs.append((d, " ".join([*clean[: r.randint(0, 30)], *p, *clean[60 : 60 + r.randint(0, 30)]])))
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCH), Workspace(spark, "t")).collect()
+    want = brute_leaks(docs, items)
+    assert want[0] == [0] and {x["doc_id"]: list(x["item_ids"]) for x in got} == want
+
+
 def brute_base(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -185,6 +185,18 @@ def test_pii_precision():
     assert y[chosen].mean() > 0.95 and chosen[y > 0].mean() > 0.85
 
 
+def test_pii_long_secrets():
+    import random
+    import string
+
+    r, alnum, (m, cuts) = random.Random(5), string.ascii_letters + string.digits, pii.model()
+    many = lambda cs, k: "".join(r.choice(cs) for _ in range(k))
+    for n in (200, 201, 700, 5000):
+        for s in (many(alnum + "+/", n), f"ey{many(alnum, 30)}.ey{many(alnum, n)}.{many(alnum + '-_', 43)}"):
+            text = f'x token = "{s}" y'
+            assert pii.masked(text, pii.all_spans(text, m, cuts)[1]) == 'x token = "[SECRET]" y'
+
+
 def test_token_files(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 

@@ -22,15 +22,17 @@ def imports(spark, d):
     return of("customer", "c_custkey", "c", "c_nationkey", "n").union(of("nation", "n_nationkey", "n", "n_regionkey", "r")).union(top).distinct()
 
 
-def commits(spark, d):
-    """Orders of customers 1 to 40 as commits: the parent is the one before; every fifth has a second, three before."""
+def commits(spark, d, where="true"):
+    """Orders as commits: the parent is the customer's one before; every fifth has a second, three before."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, d, "orders").where("o_custkey <= 40")
+    o = table(spark, d, "orders").where(where)
     o = o.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"), F.lag("o_orderkey").over(w).alias("p1"), F.lag("o_orderkey", 3).over(w).alias("p2"))
     one = o.where("p1 is not null").select(F.col("o_orderkey").alias("a"), F.col("p1").alias("b"))
     return one.union(o.where("i % 5 = 0 and p2 is not null").select("o_orderkey", "p2"))
 
 
+#: v03 and v05 list their SQL's rows, which are those of customers 1 to 40.
+_SQL_BOUND = "o_custkey <= 40"
 _COMMITS = """o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p2 FROM orders WHERE o_custkey <= 40 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 e AS (SELECT o_orderkey AS a, p1 AS b FROM o WHERE p1 IS NOT NULL UNION SELECT o_orderkey, p2 FROM o WHERE i % 5 = 0 AND p2 IS NOT NULL)"""
 
@@ -56,7 +58,7 @@ def g03(spark, d):
 def g05(spark, d):
     e = commits(spark, d)
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, d, "orders").where("o_custkey <= 40").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"))
     c = o.where("i = 6").agg(F.min("o_custkey")).first()[0]
     x, y = (o.where((F.col("o_custkey") == c) & (F.col("i") == i)).first()["o_orderkey"] for i in (6, 4))
     return G.common_ancestor(e, x, y).select("node", F.lit(True).alias("found"))
@@ -129,13 +131,13 @@ def v02(spark, d):
 
 @query("v05_commit_details", f"WITH {_COMMITS} SELECT a AS commit, string_agg(b, ',' ORDER BY b) AS parents FROM e GROUP BY a")
 def v05(spark, d):
-    e = commits(spark, d).distinct().groupBy(F.col("a").alias("commit")).agg(F.sort_array(F.collect_list("b")).alias("p"))
+    e = commits(spark, d, _SQL_BOUND).distinct().groupBy(F.col("a").alias("commit")).agg(F.sort_array(F.collect_list("b")).alias("p"))
     return e.select("commit", F.array_join(F.col("p").cast("array<string>"), ",").alias("parents"))
 
 
 @query("v03_leaves", f"WITH {_COMMITS} SELECT DISTINCT a AS commit FROM e WHERE a NOT IN (SELECT b FROM e)")
 def v03(spark, d):
-    e = commits(spark, d)
+    e = commits(spark, d, _SQL_BOUND)
     return e.select(F.col("a").alias("commit")).distinct().join(e.select(F.col("b").alias("commit")), "commit", "left_anti")
 
 

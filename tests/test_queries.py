@@ -24,3 +24,13 @@ def test_query(spark, name):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
     got, want = queries()[name](spark, DATA).toPandas(), con.execute(oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_history_of_all_customers(spark):
+    from knotwork.plans.queries_graphs import commits
+
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    n = orders.groupBy("o_custkey").count().where("count > 1").selectExpr("sum(count - 1)").first()[0]
+    got = commits(spark, DATA)
+    assert got.select("a").distinct().count() == n > commits(spark, DATA, "o_custkey <= 40").select("a").distinct().count()

@@ -40,7 +40,7 @@ e AS (SELECT o_orderkey AS a, p1 AS b FROM o WHERE p1 IS NOT NULL UNION SELECT o
 @query("g01_cycles", "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 3")
 def g01(spark, d):
     ring = spark.createDataFrame([("n0", "n1"), ("n1", "n2"), ("n2", "n0")], "a string, b string")
-    return G.cyclic(imports(spark, d).where("a not like 'c%'").union(ring))
+    return G.cyclic(imports(spark, d).union(ring))
 
 
 @query("g02_closure", f"WITH RECURSIVE {_IMPORTS}, c AS (SELECT a, b, 1 AS depth FROM e UNION SELECT c.a, e.b, c.depth + 1 FROM c JOIN e ON c.b = e.a) SELECT a, b, CAST(min(depth) AS INT) AS depth FROM c GROUP BY a, b")

@@ -34,3 +34,13 @@ def test_history_of_all_customers(spark):
     n = orders.groupBy("o_custkey").count().where("count > 1").selectExpr("sum(count - 1)").first()[0]
     got = commits(spark, DATA)
     assert got.select("a").distinct().count() == n > commits(spark, DATA, "o_custkey <= 40").select("a").distinct().count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_cycles_over_all_imports(spark, monkeypatch):
+    from knotwork.plans import queries_graphs as Q
+
+    seen, cyclic = [], Q.G.cyclic
+    monkeypatch.setattr(Q.G, "cyclic", lambda e: seen.append(e) or cyclic(e))
+    assert {r["node"] for r in Q.g01(spark, DATA).collect()} == {"n0", "n1", "n2"}
+    assert seen[0].where("a like 'c%'").count() == spark.read.parquet(f"{DATA}/customer.parquet").count()

@@ -260,3 +260,18 @@ def test_sentencepiece(spark, odd_docs, no_docs):
     got = sp_backend.encode(odd_docs, path).collect()
     assert len(got) == odd_docs.count() and all(list(x["ids"]) == ref.encode(text[x["doc_id"]]) and x["parity"] and x["roundtrip"] for x in got)
     assert sp_backend.digests(sp_backend.encode(no_docs, path)).count() == 0
+
+
+def test_sentencepiece_parity_of_other_models(tmp_path):
+    import io
+
+    import sentencepiece
+
+    out = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter([words(i, 20) for i in range(60)]), model_writer=out, vocab_size=60, minloglevel=2)
+    b, want = sp_backend.Backend(out.getvalue()), sentencepiece.SentencePieceProcessor(model_proto=out.getvalue())
+    texts = [words(1, 9), "  two   spaces ", "\ufb01ne", ""]
+    ids, same = b.encode(texts)
+    assert same == [list(np.frombuffer(i, b.typecode)) == want.encode(t) for i, t in zip(ids, texts, strict=True)] and same[0]
+    b.memo.encode = lambda ts: [np.zeros(3, b.typecode).tobytes() for _ in ts]
+    assert b.encode(texts[:1])[1] == [False]

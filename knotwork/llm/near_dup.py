@@ -9,16 +9,17 @@ How lists propose pairs without pairing everything that shares something common:
 classes pairs them all. A pair without a common cold value shares hot ones alone, so it can only link if
 hot values are at least three quarters of both sets; classes with that many in their sketch (``HOT_SHARE``,
 below 0.75 by over three standard deviations) are matched within hot lists, where each list's leader meets
-all its members. Classes that the leaders leave outside the list's component are then compared with all
-members, full set by full set, in blocks: that is exact, and needs no pair table.
+all its members. What leaders leave outside their component is then matched exactly, without a pair table: every
+member takes so many of its rarest values that it shares one with each set it could link to; members that share
+none with another component are done; the others are compared full set by full set, in blocks.
 
 Scale: sketches have ``K`` numbers a document. List sizes come from partial aggregates; hot values and
 large classes are joined with skew handling. Full sets are only built for documents in likely pairs.
-Components are found by star rounds. The driver gets counts alone.
+Components are found by star rounds. The driver gets counts alone, and ``SLOTS`` counters.
 
 Defined cases: null and empty texts and texts of white space have the empty set, link with nothing and are
-kept; a null doc_id takes no part and isn't returned (its text neither); rows that repeat a doc_id are one
-document per distinct text for linking and are all returned with that doc_id's least component; other columns are ignored.
+kept; a null doc_id links with nothing, and its component and kept are null; rows that repeat a doc_id are a document
+for each distinct text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,46 +28,62 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Workspace
+from .common import Workspace, fresh
 from .components import components
 from .shingling import shingles
+from .worker import give_back, guarded, held, pieces
 
 WORDS, PERCENT = 5, 75
-K, USED, COLD, LIKELY, HOT_SHARE, BLOCK = 64, 32, 32, 0.5, 0.55, 512
+K, USED, COLD, LIKELY, HOT_SHARE = 64, 32, 32, 0.5, 0.55
+#: Rows and bytes of full sets in a block, slots of the counters that order values by rarity.
+BLOCK, BLOCK_BYTES, SLOTS = 512, 4 << 20, 1 << 16
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n (size of the set), mark (digest of the set), sketch."""
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n (size of the set), mark (digest of the set), sketch."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            n, marks, parts_ = [], [], []
-            for t in p.column("text").to_pylist():
-                s = shingles(t.encode().lower(), WORDS) if t else np.zeros(0, np.uint64)
+        for p in pieces("near_dup", parts, "text"):
+            n, marks, least = [], [], []
+            for t in p.column("text"):
+                s = _set(t)
                 n.append(len(s))
-                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                parts_.append(s[:K].view(np.int64))
-            at = np.cumsum([0, *map(len, parts_)]).astype(np.int32)
-            flat = np.concatenate(parts_) if parts_ else np.zeros(0, np.int64)
-            yield pa.record_batch([p.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n", "mark", "sketch"])
+                marks.append(hashlib.blake2b(s, digest_size=16).digest())
+                least.append(s[:K].copy())
+            at = np.cumsum([0, *map(len, least)]).astype(np.int32)
+            flat = np.concatenate(least).view(np.int64)
+            own = [p.column("doc_id"), p.column("text_hash"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.record_batch(own, ["doc_id", "text_hash", "n", "mark", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(task, "doc_id long, n long, mark binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), "text")
+    return rows.mapInArrow(task, "doc_id long, text_hash long, n long, mark binary, sketch array<long>")
+
+
+def _set(text: pa.StringScalar) -> np.ndarray:
+    """The distinct shingles of a text, ascending."""
+    b = text.as_buffer()
+    return shingles(b.to_pybytes().lower(), WORDS) if b else np.zeros(0, np.uint64)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (id, text): id, set (its hashes, ascending, as bytes)."""
+    """Per row of ``docs`` (id, mark, text) whose set has that mark: id, set (its hashes, ascending, as bytes)."""
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"id": p["id"], "set": [shingles((t or "").encode().lower(), WORDS).tobytes() for t in p["text"]]})
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces("near_dup", parts, "text"):
+            ids, sets = [], []
+            for i, mark, t in zip(p.column("id").to_pylist(), p.column("mark").to_pylist(), p.column("text"), strict=True):
+                s = _set(t)
+                if hashlib.blake2b(s, digest_size=16).digest() == mark:
+                    ids.append(i)
+                    sets.append(s.tobytes())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.mapInPandas(task, "id long, set binary")
+    return docs.select("id", "mark", "text").mapInArrow(task, "id long, set binary")
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> float:
@@ -87,28 +104,41 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = both.join(sk.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     both = both.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
 
-    @F.pandas_udf("double")
-    def like(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([estimate(_unsigned(a), _unsigned(b)) for a, b in zip(x, y, strict=True)], dtype=float)
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in guarded("near_dup", parts):
+            (x, i), (y, j) = (_rows(p.column(c)) for c in ("sa", "sb"))
+            like = [estimate(_unsigned(x[a:b]), _unsigned(y[c:d])) >= LIKELY for a, b, c, d in zip(i, i[1:], j, j[1:], strict=False)]
+            yield p.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
+
 
-    return both.where(like("sa", "sb") >= LIKELY).select("a", "b")
+def _rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's start and end."""
+    at = np.asarray(lists.offsets)
+    return np.asarray(lists.flatten()), at - at[0]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets (``sets``: id, set) reach the similarity."""
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in guarded("near_dup", parts):
+            out = [_alike(_hashes(x), _hashes(y)) for x, y in zip(p.column("sa"), p.column("sb"), strict=True)]
+            yield p.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return both.where(linked("sa", "sb")).select("a", "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
+
+
+def _hashes(x: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
 def _find(parent: dict, x: int) -> int:
@@ -117,52 +147,95 @@ def _find(parent: dict, x: int) -> int:
     return x
 
 
+def common_slots(sets: DataFrame) -> np.ndarray:
+    """How many values of ``sets`` (id, set) fall into each of ``SLOTS`` slots: what is sent here has that bound."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for p in pieces("near_dup", parts, "set"):
+            for x in p.column("set"):
+                total += np.bincount((_hashes(x) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in sets.select("set").mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def with_rarest(sets: DataFrame, slots: np.ndarray) -> DataFrame:
+    """``sets`` (id, set) with ``rare``: so many of a set's rarest values that it shares one of them with every set it links to.
+
+    A set of n values has ceil(n * PERCENT / 100) at least in common with any such set; so, in one order of all values,
+    the first n - ceil(n * PERCENT / 100) + 1 of both sets meet. The order is by ``slots``, then by value."""
+    shared = sets.sparkSession.sparkContext.broadcast(slots)
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces("near_dup", parts, "set"):
+            rare = []
+            for x in p.column("set"):
+                h = _hashes(x)
+                k = len(h) - -(-len(h) * PERCENT // 100) + 1
+                rare.append(h[np.lexsort((h, shared.value[(h % np.uint64(SLOTS)).astype(np.int64)]))[:k]])
+            at = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            yield pa.record_batch([p.column("id"), p.column("set"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rare).view(np.int64)))], ["id", "set", "rare"])
+
+    return sets.select("id", "set").mapInArrow(task, "id long, set binary, rare array<long>")
+
+
 def residual(rest: DataFrame, members: DataFrame) -> DataFrame:
-    """Links of ``rest`` with ``members`` (lead, id, root, set) of the same leader but another component.
+    """Links of ``rest`` with ``members`` (lead, id, root, set, rare) of the same lead but another component.
 
-    A leader's members are dealt into blocks; every block meets that leader's rest, in blocks too. Inverted
-    lists of a block's full sets count all intersections; of the links found only those are returned that join
+    A lead's members are dealt into blocks of about ``BLOCK_BYTES`` of sets; every block meets that lead's rest, in blocks too.
+    An index of a block's rarest values proposes, full sets decide; of the links found only those are returned that join
     components which the block's other links don't, so a block returns fewer rows than it has members."""
     kind, n = "a long, b long", 4 * rest.sparkSession.sparkContext.defaultParallelism
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    m = members.groupBy("lead").agg(F.count(F.lit(1)).alias("n_m"))
-    r = rest.groupBy("lead").agg(F.count(F.lit(1)).alias("n_r"))
-    size = r.join(m, "lead").select("lead", cut(F.col("n_m")).alias("k_m"), cut(F.col("n_r")).alias("k_r"))
+    cut = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int")
+    size = rest.groupBy("lead").agg(cut().alias("k_r")).join(members.groupBy("lead").agg(cut().alias("k_m")), "lead")
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     keys = ("lead", "i", "j")
-    left = rest.join(size, "lead").withColumn("i", own("k_r")).withColumn("j", every("k_m")).select(*keys, "id", "root", "set").repartition(n, *keys)
-    right = members.join(size, "lead").withColumn("j", own("k_m")).withColumn("i", every("k_r")).select(*keys, "id", "root", "set").repartition(n, *keys)
+    # names of their own, as both sides may come from one frame
+    rest = rest.select("lead", "id", "root", "set", "rare").toDF("lead", "id", "root", "set", "rare")
+    left = rest.join(size, "lead").withColumn("i", own("k_r")).withColumn("j", every("k_m")).select(*keys, "id", "root", "set", "rare").repartition(n, *keys)
+    right = members.join(size, "lead").withColumn("j", own("k_m")).withColumn("i", every("k_r")).select(*keys, "id", "root", "set", "rare").repartition(n, *keys)
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        held("near_dup", None, bool)
         out, parent = [], {}
         if len(x) and len(y):
-            sets = [np.frombuffer(s, np.uint64) for s in y["set"]]
-            sizes, ids, roots = np.array([len(s) for s in sets]), y["id"].to_numpy(), y["root"].to_numpy()
-            values, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), sizes)
+            x, y = (t.combine_chunks().to_batches()[0] for t in (x, y))
+            sets, ids, roots = [_hashes(s) for s in y.column("set")], y.column("id").to_numpy(), y.column("root").to_numpy()
+            sizes = np.array([len(s) for s in sets])
+            values, at = _rows(y.column("rare"))
+            owner = np.repeat(np.arange(len(y)), np.diff(at))
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
-            for i, root, s in zip(x["id"], x["root"], x["set"], strict=True):
-                s = np.frombuffer(s, np.uint64)
-                a, b = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
-                common = np.bincount(owner[at], minlength=len(y))
-                for j in np.flatnonzero((100 * common >= PERCENT * (len(s) + sizes - common)) & (roots != root)):
-                    p, q = _find(parent, root), _find(parent, roots[j])
-                    if p != q:
+            rare, at = _rows(x.column("rare"))
+            for i, root, s, a, b in zip(x.column("id").to_pylist(), x.column("root").to_pylist(), x.column("set"), at, at[1:], strict=False):
+                s = _hashes(s)
+                lo, hi = np.searchsorted(values, rare[a:b], "left"), np.searchsorted(values, rare[a:b], "right")
+                near = np.unique(np.concatenate([owner[u:v] for u, v in zip(lo, hi, strict=True) if u < v] or [owner[:0]]))
+                near = near[(roots[near] != root) & (100 * np.minimum(sizes[near], len(s)) >= PERCENT * np.maximum(sizes[near], len(s)))]
+                for j in near.tolist():
+                    p, q = _find(parent, root), _find(parent, int(roots[j]))
+                    # what other links of this block join already needs no comparison
+                    if p != q and _alike(s, sets[j]):
                         parent[p] = q
-                        out.append((min(i, ids[j]), max(i, ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                        out.append((min(i, int(ids[j])), max(i, int(ids[j]))))
+        give_back()
+        return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, kind)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, kind)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, set): the full sets of the classes in ``wanted`` (id)."""
-    marks = wanted.join(classes.select("id", "mark"), "id")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(marks, "id")
+    marks = wanted.join(classes.select("id", "doc", "mark"), "id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(marks, "doc")
     # a repeated doc_id can have other texts: the digest tells which one is the class's
-    return full_sets(own.select("id", "text")).join(marks, "id").where(_digest("set") == F.col("mark")).select("id", "set").dropDuplicates(["id"])
+    return full_sets(own).dropDuplicates(["id"])
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -173,19 +246,15 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ws: Workspace
     return ws.save(confirmed(close, sets), f"{name}-links")
 
 
-def _digest(column: str):
-    return F.pandas_udf(lambda s: s.map(lambda x: hashlib.blake2b(x, digest_size=16).digest()), "binary")(column)
-
-
-def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def _groups(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n (size of its set), component."""
     ship(docs.sparkSession)
     sk = ws.save(sketches(docs), "sketches")
-    # a class is a distinct set, named by its least doc_id; (id, mark) is unique even if doc_ids repeat
-    classes = sk.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = ws.save(classes, "classes")
+    # a class is a distinct set; its number is that of its row in the written table
+    classes = sk.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     listed = classes.select("id", F.posexplode("sketch").alias("rank", "value"))
-    counts = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lead")).where("df > 1")
+    counts = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = ws.save(listed.join(counts, "value"), "shared")
     cold = shared.where(f"df <= {COLD}")
     # the USED least cold values of each class are enough: linked classes share most of them
@@ -202,31 +271,54 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     links = _linked(docs, classes, pairs, ws, "first")
     roots = components(links, ws, "first")
     if not stars.isEmpty():
-        root = F.coalesce("root", F.col("id")).alias("root")
-        members = ws.save(stars.join(roots, "id", "left").select("lead", "id", root), "members")
-        led = members.where("lead = id").select("lead", F.col("root").alias("lead_root"))
-        rest = ws.save(members.join(led, "lead").where("root <> lead_root").drop("lead_root"), "rest")
-        near = members.join(rest.select("lead").distinct(), "lead", "left_semi")
+        # leads of one component have their members in common from here on
+        root_of = lambda t, c: t.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"{c}_root", F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        members = root_of(root_of(stars, "lead"), "id").select(F.col("lead_root").alias("lead"), "id", F.col("id_root").alias("root")).distinct()
+        members = ws.save(members, "members")
+        outside = members.where("root <> lead").select("lead").distinct()
+        near = members.join(outside, "lead", "left_semi")
         sets = ws.save(_sets(docs, classes, near.select("id").distinct()), "hot-sets")
-        rest, near = ws.save(rest.join(sets, "id"), "rest-sets"), ws.save(near.join(sets, "id"), "near-sets")
-        more = ws.save(residual(rest, near).distinct(), "second-links")
+        sets = ws.save(with_rarest(sets, common_slots(sets)), "rarest")
+        # a member shares a rare value with every set it links to; without one in another component it has no link left
+        tokens = near.join(sets.select("id", F.explode("rare").alias("value")), "id")
+        across = tokens.groupBy("lead", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead", "value")
+        open_ = ws.save(tokens.join(across, ["lead", "value"], "left_semi").select("lead", "id", "root").distinct(), "open")
+        near = ws.save(open_.join(sets, "id"), "near")
+        more = ws.save(residual(near.where("root <> lead"), near).distinct(), "second-links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, ws, "second")
-    of = classes.select("id", "mark").join(roots, "id", "left").select("mark", F.coalesce("root", "id").alias("component"))
+    of = classes.select("id", "mark", "doc").join(roots, "id", "left").select("mark", "doc", F.coalesce("root", "id").alias("root"))
+    least = of.groupBy("root").agg(F.min("doc").alias("component"))
+    of = of.join(least, "root").select("mark", "component")
     every = sk.join(of, "mark", "left")
-    component = F.coalesce("component", F.col("doc_id"))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id"))).alias("component")
+    return every.select("doc_id", "text_hash", "n", component)
+
+
+def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    c = F.col("component")
+    return _groups(docs, ws).select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), (c == F.col("doc_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     """``docs`` with one document of each group: the one with the least doc_id. Rows without a doc_id all stay.
 
-    Should rows repeat a doc_id, each of its texts stays once."""
-    found = ws.save(near_duplicates(docs, ws), "found")
-    gone = ws.save(found.where("not kept").select("doc_id").distinct(), "gone")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(rest.where("doc_id is null"))
+    Should that doc_id have several rows in the group, the text with the least hash stays, once; of rows without words that
+    repeat a doc_id and text, one stays."""
+    found = ws.save(_groups(docs, ws), "found")
+    key, at = fresh(docs, "_doc"), fresh(docs, "_hash")
+    gone = found.where("component <> doc_id").select(F.col("doc_id").cast("long").alias(key), F.col("text_hash").alias(at)).distinct()
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(at, _text_hash())
+    rest = rows.join(ws.save(gone, "gone"), [key, at], "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest.select(*docs.columns)
+    more = found.where("component = doc_id and n > 0").groupBy("component").agg(F.min("text_hash").alias("least"))
+    more = found.where("component = doc_id and n > 0").join(more, "component").where("text_hash <> least").select(F.col("doc_id").alias(key), F.col("text_hash").alias(at)).distinct()
+    rest = rest.join(ws.save(more, "more"), [key, at], "left_anti")
+    return rest.where(F.col(key).isNotNull()).dropDuplicates([key, at]).unionByName(rest.where(F.col(key).isNull())).select(*docs.columns)
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))

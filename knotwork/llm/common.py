@@ -77,8 +77,9 @@ def attempt_name() -> str:
 
 
 def files_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A frame that gives each of ``rows`` (one per file) a task of its own."""
-    return spark.createDataFrame(rows, schema).repartition(max(1, len(rows)))
+    """A frame of ``rows``, one per file: a task for each, or for some where that would make very many tasks."""
+    n = len(rows)
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(n, max(16 * spark.sparkContext.defaultParallelism, n // 64))))
 
 
 def utf8_size(c):

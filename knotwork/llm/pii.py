@@ -27,12 +27,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .boosting import Boosted
+from .worker import give_back, held, pieces
 
 #: Kinds in the order in which spans of one start are listed: the base ones, then the judged ones.
 BASE = ("email", "ip", "card", "phone")
@@ -249,22 +250,26 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): base counts, digest of the base spans, all spans."""
+    """Per row of ``docs`` (doc_id, text): base counts, digest of the base spans, all spans, and how many they are."""
     ship(docs.sparkSession)
     trees, cuts = model()
+    names = [f"n_{k}" for k in BASE]
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for t in p["text"]:
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces("pii", parts, "text"):
+            counts, digests, spans, total = [], [], [], []
+            for t in p.column("text").to_pylist():
                 base, every = all_spans(t, trees, cuts) if t else ([], [])
                 n = Counter(k for k, _, _ in base)
-                rows.append((*(n[k] for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            own = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            yield pd.concat([p[["doc_id"]].reset_index(drop=True), own], axis=1)
+                counts.append([n[k] for k in BASE])
+                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                spans.append(joined(every))
+                total.append(len(every))
+            own = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+            yield pa.record_batch([p.column("doc_id"), *own, pa.array(digests), pa.array(spans), pa.array(total, pa.int64())], ["doc_id", *names, "base_sha256", "spans", "n_spans"])
 
-    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, kind)
+    kind = f"doc_id long, {', '.join(f'{c} long' for c in names)}, base_sha256 string, spans string, n_spans long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, kind)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -272,8 +277,14 @@ def redact(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     trees, cuts = model()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: masked(t, all_spans(t, trees, cuts)[1]) if t else t)
+    @F.arrow_udf("string")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("pii", None, bool)
+        try:
+            for p in parts:
+                yield pa.array([masked(x, all_spans(x, trees, cuts)[1]) if (x := t.as_py()) else x for t in p], pa.string())
+                del p
+        finally:
+            give_back()
 
     return docs.withColumn("text", clean("text"))

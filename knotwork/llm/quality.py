@@ -6,14 +6,15 @@ letters in lower case, its case, its punctuation. A document is the mean of its
 figures of how it repeats itself; a two-layer network, written in numpy, scores it; a temperature fitted on
 rows that the network hasn't seen makes the score a probability.
 
-Training: at most ``TRAIN_ROWS`` labelled rows of at most ``TRAIN_CHARS`` characters, those with the least
-hash of doc_id, go to the driver; that bound doesn't depend on the input. Rows with crc32(doc_id) mod 3 = 1
-are held out and never used. Scoring is one pass over whole texts, without an exchange; the model is
-``ROWS`` x ``DIM`` numbers (16 MB), broadcast once.
+Training: at most ``TRAIN_ROWS`` labelled rows, those with the least hash of doc_id, go to the driver, of each at
+most its first ``TRAIN_CHARS`` characters; those bounds don't depend on the input (at most 100 million characters).
+Rows with crc32(doc_id) mod 3 = 1 are held out and never used. Scoring is one pass over whole texts, without an
+exchange, some megabytes at a time; the model is ``ROWS`` x ``DIM`` numbers (16 MB), broadcast once.
 
 Defined cases: null and empty texts have the zero vector and get its score; without labels of both values
 the score is the share of label 1 (0.5 without any); a doc_id of null is never a training row and not held
-out; repeated rows score alike; a doc_id with several labels takes part with each; other columns are ignored.
+out; repeated rows score alike; a doc_id with several labels or texts takes part with each pair of them, those of least
+label, then text, first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +26,17 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .worker import EVERY, give_back, held, sizes, spans
 
-TRAIN_ROWS, TRAIN_CHARS = 6000, 65_536
+TRAIN_ROWS, TRAIN_CHARS = 6000, 16_384
 DIM, ROWS, WINDOW, HIDDEN, NONZERO = 64, 1 << 16, 2, 32, 6
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
-_ROOM = 150_000
+_ROOM = 100_000
 
 
 def held_out(doc_id) -> object:
@@ -172,9 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    own = docs.select(F.col("doc_id").alias("_doc"), "text").where(F.length("text") <= chars)
+    own = docs.select(F.col("doc_id").alias("_doc"), F.substring("text", 1, chars).alias("text")).where("text is not null")
     # at most `rows` rows of two numbers: safe to broadcast
-    got = own.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "_y", "text").limit(rows).toPandas()
+    got = own.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
+    got = got.orderBy(F.xxhash64("_id"), "_id", "_y", "text").limit(rows).toPandas()
     got = got.sort_values(["_id", "_y", "text"], ignore_index=True)
     y, memory = got["_y"].to_numpy(float), Rows()
     if len(set(y > 0)) < 2 or len(y) < 20:
@@ -193,14 +196,24 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     vectors, net = train(docs, labels, rows)
     shared = spark.sparkContext.broadcast((vectors, net))
 
-    @F.pandas_udf("double")
-    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        (vectors, net), memory = shared.value, Rows()
-        for p in parts:
-            if not len(p):
-                yield pd.Series([], dtype=float)
-                continue
-            yield pd.Series(net.probability(np.stack([pooled(t, vectors, memory) for t in p]).astype(float)))
+    @F.arrow_udf("double")
+    def rate(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vectors, net = shared.value
+        memory, since = held("quality", "rows", Rows), 0
+        try:
+            for p in parts:
+                n, out = sizes(p), [np.zeros(0)]
+                for a, b in spans(n):
+                    x = np.stack([pooled(t.as_py(), vectors, memory) for t in p.slice(a, b - a)])
+                    out.append(net.probability(x.astype(float)))
+                since += sum(n)
+                del p
+                if since >= EVERY:
+                    since = 0
+                    give_back()
+                yield pa.array(np.concatenate(out))
+        finally:
+            give_back()
 
     scored = docs.withColumn("_score", rate("text"))
     return scored.withColumn("_good", F.col("_score") >= 0.5)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, histogram_shards, near_dup, perspectives, pii, posting_lists, quality, sp_backend, token_files, warc
 from .common import Workspace, table
 
-#: The folder of the public vocabularies; a parameter of every query that needs one.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents."""
@@ -75,13 +73,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     ws = Workspace(spark, "op9")
-    manifest = token_files.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 1, ws)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, ws)
     return token_files.read(spark, ws, manifest)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in SentencePiece ids, with parity and round trip checked."""
-    return sp_backend.digests(sp_backend.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return sp_backend.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

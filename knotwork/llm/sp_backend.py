@@ -25,13 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .word_memo import WordMemo, batches
+from .worker import held, pieces
 
 MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
@@ -129,7 +129,7 @@ class Backend:
     """Encodes and decodes batches of texts; checks what is new against the sentencepiece library."""
 
     def __init__(self, data: bytes, check: bool = True):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.model = m = parse(data)
         self.part, self.normalizer = build(m, whole=False)
@@ -147,10 +147,10 @@ class Backend:
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         # other models change more of a text than its parts show: for these, whole texts are compared
         self.by_part = bool(self.reference and m.dummy_prefix and not m.squeeze and not m.charsmap)
-        self.memo = WordMemo(self._encode, self.split, self.typecode, 80_000)
+        self.memo = WordMemo(self._encode, self.split, 80_000)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b"" if t == CONTROL else b" \xe2\x81\x87 " for p, _, t in m.pieces]
 
-    def _encode(self, parts: list[bytes]) -> list[list[int]]:
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
         ids = [e.ids for e in self.part.encode_batch_fast([p.decode().replace(" ", MARK) for p in parts], add_special_tokens=False)]
         if self.by_part:
             # a part that starts with a space is a text that has the dummy prefix; others are put behind a line feed
@@ -161,7 +161,7 @@ class Backend:
                 # the library adds no prefix to an empty text: a lone space is the marker
                 if t and own != (want if p[:1] == b" " else want[lead:]):
                     self.bad.add(p)
-        return ids
+        return [array(self.typecode, i).tobytes() for i in ids]
 
     def _marked(self, text: str) -> bytes:
         if self.normalizer:
@@ -184,50 +184,48 @@ class Backend:
         return out[1 if self.model.dummy_prefix and out[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
-_backends: dict[str, Backend] = {}
-
-
 def backend(path: str, check: bool = True) -> Backend:
-    """This process's backend for a model file."""
-    key = f"{path}{check}"
-    if key not in _backends:
-        with open(path, "rb") as f:
-            _backends[key] = Backend(f.read(), check)
-    return _backends[key]
+    """This process's backend for a model file, as long as its tasks are those of this operator."""
 
+    def make() -> Backend:
+        with open(path, "rb") as f:
+            return Backend(f.read(), check)
 
-def _size(text: pa.StringScalar) -> int:
-    return len(b) if (b := text.as_buffer()) else 0
+    return held("sentencepiece", (path, check), make)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, ids, n_tokens, parity, and roundtrip (decoding gives the text)."""
+def _encoded(docs: DataFrame, path: str, name: str, kind: str, ids_column) -> DataFrame:
+    """The rows of ``docs`` encoded; ``ids_column`` makes the column ``name`` of all ids and each row's place in them."""
     ship(docs.sparkSession)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = backend(path)
         # some text at a time: very long texts come alone
-        for p in (p.slice(s.start, s.stop - s.start) for p in parts for s in batches(p.column("text"), SLICE, _size)):
+        for p in pieces("sentencepiece", parts, "text", most=SLICE):
             texts = [t or "" for t in p.column("text").to_pylist()]
             ids, same = own.encode(texts)
             back = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            flat = np.frombuffer(b"".join(ids), own.typecode).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), own.typecode)
             n = np.array([len(i) // array(own.typecode).itemsize for i in ids], np.int64)
-            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.record_batch([p.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(n), pa.array(same), pa.array(back)], ["doc_id", "ids", "n_tokens", "parity", "roundtrip"])
+            del ids, texts
+            at = np.concatenate([[0], np.cumsum(n)])
+            yield pa.record_batch([p.column("doc_id"), ids_column(flat, at), pa.array(n), pa.array(same, pa.bool_()), pa.array(back)], ["doc_id", name, "n_tokens", "parity", "roundtrip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, ids array<int>, n_tokens long, parity boolean, roundtrip boolean")
+    return rows.mapInArrow(task, f"doc_id long, {name} {kind}, n_tokens long, parity boolean, roundtrip boolean")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of ids."""
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, ids, n_tokens, parity, and roundtrip (decoding gives the text)."""
+    lists = lambda flat, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+    return _encoded(docs, path, "ids", "array<int>", lists)
 
-    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            col = p.column("ids")
-            flat, at = np.asarray(col.flatten()).astype("<u4"), np.asarray(col.offsets) - col.offsets[0].as_py()
-            crc = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], pa.int64())
-            yield pa.record_batch([p.column("doc_id"), p.column("n_tokens"), crc, p.column("parity"), p.column("roundtrip")], ["doc_id", "n_tokens", "ids_crc32", "parity", "roundtrip"])
 
-    return encoded.mapInArrow(task, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, roundtrip boolean")
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """What ``encode`` gives, with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of ids."""
+
+    def crc(flat, at):
+        flat = flat.astype("<u4")
+        return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+
+    return _encoded(docs, path, "ids_crc32", "long", crc)

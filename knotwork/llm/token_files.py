@@ -6,8 +6,9 @@ booleans, false only on the padding that ends a file). As all lists have one len
 lies at byte ``i * length * width`` of its buffer, so a memory-mapped file gives any sequence or mask
 without a copy. Beside it, ``<stem>.docs.arrow`` has each document's place in the file.
 
-Scale: rows are dealt once, by ranges of doc_id, and each task encodes, sorts and writes its own range.
-Only one manifest row per file (64 MB of text or so) reaches the driver.
+Scale: rows are dealt once, by ranges of (doc_id, hash of the text), and each task sorts, encodes and writes its own
+range, in as many files of about ``FILE_BYTES`` of text as that takes. Only one manifest row per file (its name and two
+numbers) reaches the driver.
 
 Defined cases: null and empty texts have the end id alone; a null doc_id sorts first; rows that repeat a
 doc_id stay separate documents, in an arbitrary order among themselves; other columns are ignored;
@@ -19,26 +20,25 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, attempt_name, files_frame, open_fs
-from .word_memo import WordMemo, batches
+from .word_memo import WordMemo
+from .worker import guarded, held, pieces
 
 #: Tokens in a sequence, sequences in a record batch, bytes of text in a file.
 LENGTH, BATCH_ROWS, FILE_BYTES = 2048, 64, 48 << 20
 
-_encoders: dict = {}
-
 #: Marks after a word that the tokenizer takes for a token run of their own; Latin letters; words remembered without them.
 _MARKS = (".", ",", ";", ":", "!", "?", "!!", "...")
 _LATIN = "\u0250"
-_ROOM = 300_000
+_ROOM, CHECKED = 150_000, 64
 
 
 def _cut(word: str) -> tuple[str, str]:
@@ -56,20 +56,22 @@ def word_encoder(path: str) -> tuple[WordMemo, str]:
 
     Such a tokenizer splits at white space before it looks up anything, so a text's ids are those of its
     words one after the other."""
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+    def make() -> tuple[WordMemo, str]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         code = "H" if t.get_vocab_size() <= 1 << 16 else "I"
-
-        whole = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        whole = lambda words: [array(code, e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
         marks = {m: ids for m, ids in zip(_MARKS, whole(list(_MARKS)), strict=True)}
-        cores: dict[str, list[int]] = {}
+        cores: dict[str, bytes] = {}
         # a vocabulary that doesn't part letters from marks, or keeps case, is asked for whole words
-        parts = whole(["Word,"])[0] == whole(["word"])[0] + marks[","]
+        probes = [w for c in ("word", "Word", "WORD", "\u00c9t\u00e9", "x") for w in (c, *(c + m for m in _MARKS))]
+        composed = [low + marks[m] if m else low for (c, m), low in zip(map(_cut, probes), whole([_cut(w)[0] for w in probes]), strict=True)]
+        parts = composed == whole(probes)
 
-        def encode(words: list[bytes]) -> list[list[int]]:
+        def encode(words: list[bytes]) -> list[bytes]:
             texts = [w.decode() for w in words]
             if not parts:
                 return whole(texts)
@@ -78,10 +80,15 @@ def word_encoder(path: str) -> tuple[WordMemo, str]:
             cut = [_cut(x) for x in texts]
             fresh = [c for c in dict.fromkeys(c for c, _ in cut) if c not in cores]
             cores.update(zip(fresh, whole(fresh), strict=True))
-            return [cores[c] + marks[m] if m else cores[c] for c, m in cut]
+            out = [cores[c] + marks[m] if m else cores[c] for c, m in cut]
+            # every so many words, the tokenizer itself says whether that was right
+            if out[::CHECKED] != whole(texts[::CHECKED]):
+                raise RuntimeError(f"{path} doesn't encode words by their letters and marks")
+            return out
 
-        _encoders[path] = WordMemo(encode, bytes.split, code), code
-    return _encoders[path]
+        return WordMemo(encode, bytes.split, 250_000), code
+
+    return held("token_files", path, make)
 
 
 def _schema(kind: pa.DataType, length: int) -> pa.Schema:
@@ -182,36 +189,34 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, ws: Workspace, length:
     """Encodes ``docs`` (doc_id, text) and writes token files in ascending doc_id order.
 
     Returns the manifest: rows (file, docs, tokens) in that order."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if not size["n"]:
-        return []
-    k = max(8, -(-(size["b"] or 0) // file_bytes))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id")))
-    dealt = docs.withColumn("_b", F.coalesce(bucket, F.lit(0))).repartitionById(len(cuts) + 1, F.col("_b")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    # rows of one doc_id can lie in several ranges, should a large share have it
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     folder = f"{ws.path}/tokens"
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         memo, code = word_encoder(vocabulary)
-        end, out, first = np.array([end_id], code).tobytes(), None, 0
-        for p in parts:
-            if not len(p):
-                continue
-            if out is None:
-                out, first = TokenWriter(folder, attempt_name(), code, length), int(p["_b"].iloc[0])
-            texts = [(t or "").encode() for t in p["text"]]
-            ids_of = [None if pd.isna(d) else int(d) for d in p["doc_id"]]
-            for s in batches(texts):
-                for d, ids in zip(ids_of[s], memo.encode(texts[s]), strict=True):
-                    out.add(d, ids + end)
+        end, out, done, size = np.array([end_id], code).tobytes(), None, [], 0
+        for p in pieces("token_files", parts, "text"):
+            out = out or TokenWriter(folder, f"{attempt_name()}-{len(done)}", code, length)
+            texts = [b.to_pybytes() if (b := t.as_buffer()) else b"" for t in p.column("text")]
+            for d, ids in zip(p.column("doc_id").to_pylist(), memo.encode(texts), strict=True):
+                out.add(d, ids + end)
+            size += sum(map(len, texts))
+            if size >= file_bytes:
+                done.append(out.close())
+                out, size = None, 0
         if out is not None:
-            stem, n, tokens = out.close()
-            yield pd.DataFrame({"bucket": [first], "file": [stem], "docs": [n], "tokens": [tokens]})
+            done.append(out.close())
+        n, own = len(done), list(zip(*done, strict=True)) or ([], [], [])
+        cols = [pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(own[0], pa.string()), *(pa.array(x, pa.int64()) for x in own[1:])]
+        yield pa.record_batch(cols, ["bucket", "part", "file", "docs", "tokens"])
 
-    done = ws.save(dealt.mapInPandas(task, "bucket int, file string, docs long, tokens long"), "manifest")
-    return [(r["file"], r["docs"], r["tokens"]) for r in done.orderBy("bucket").collect()]
+    done = ws.save(dealt.mapInArrow(task, "bucket int, part int, file string, docs long, tokens long"), "manifest")
+    return [(r["file"], r["docs"], r["tokens"]) for r in done.orderBy("bucket", "part").collect()]
 
 
 def read(spark: SparkSession, ws: Workspace, manifest: list) -> DataFrame:
@@ -224,12 +229,12 @@ def read(spark: SparkSession, ws: Workspace, manifest: list) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], kind)
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for stem, base in zip(p["file"], p["base"], strict=True):
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in guarded("token_files", parts):
+            for stem, base in zip(p.column("file").to_pylist(), p.column("base").to_pylist(), strict=True):
                 f = TokenFile(folder, stem)
                 start, n = f.docs["start"].to_numpy(), f.docs["n_tokens"].to_numpy()
                 crc = [zlib.crc32(f.tokens(int(s), int(k)).astype("<u4").tobytes()) for s, k in zip(start, n, strict=True)]
-                yield pd.DataFrame({"doc_id": f.docs["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "start": start + int(base), "n_tokens": n, "ids_crc32": crc})
+                yield pa.record_batch([f.docs["doc_id"].combine_chunks(), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files_frame(spark, rows, "file string, base long").mapInPandas(task, kind)
+    return files_frame(spark, rows, "file string, base long").mapInArrow(task, kind)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable
 
 
@@ -15,12 +14,12 @@ class WordMemo:
 
     Text of any corpus repeats its words; so each distinct word is encoded once per process and texts
     are put together from what is remembered. ``encode_words`` maps a list of words (bytes) to a list of
-    id lists; ``split`` maps a text's bytes to its words; ``typecode`` is that of ``array``. The memory
+    their ids (the bytes of an array); ``split`` maps a text's bytes to its words. The memory
     holds ``room`` words in each of two generations and forgets the older one when the younger is full,
     so it is bounded and keeps what is in use."""
 
-    def __init__(self, encode_words: Callable, split: Callable[[bytes], list[bytes]], typecode: str, room: int = 400_000):
-        self.encode_words, self.split, self.typecode, self.room = encode_words, split, typecode, room
+    def __init__(self, encode_words: Callable, split: Callable[[bytes], list[bytes]], room: int):
+        self.encode_words, self.split, self.room = encode_words, split, room
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -35,10 +34,10 @@ class WordMemo:
         for i in range(0, len(fresh), AT_ONCE):
             some = fresh[i : i + AT_ONCE]
             for w, ids in zip(some, self.encode_words(some), strict=True):
-                self.young[w] = array(self.typecode, ids).tobytes()
+                self.young[w] = ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as the bytes of an array of ``typecode``."""
+        """The ids of each text, as the bytes of an array."""
         if len(self.young) > self.room:
             self.young, self.old = {}, self.young
         get, out, open_, unknown = self.young.get, [], [], set()

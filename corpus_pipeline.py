@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import decontaminate, near_dup, pii, quality, sp_backend
 from knotwork.llm.common import Workspace, table
-from knotwork.llm.queries import TOKENIZERS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,7 +43,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    return sp_backend.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens", "ids")
+    return sp_backend.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids")
 
 
 #: The last two stages and near-duplicates are beyond SQL; see tests/llm for brute-force versions.

@@ -11,7 +11,7 @@ host, however common, spreads over tasks. The directory has one row per ``BLOCK`
 by the tasks that need it, never by the driver.
 
 Defined cases: a null html has an empty payload; empty payloads are deduplicated like others; a null url
-has the key ``-``; rows that repeat page_id and html give equal records, all of type response where that
+has the key ``-``; in keys, all but printable ASCII is escaped; rows that repeat page_id and html give equal records, all of type response where that
 page_id is the least of its payload; a null page_id is only the least where no row of its payload has one; other columns are ignored;
 an empty table writes nothing.
 """
@@ -26,11 +26,12 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, attempt_name, open_fs
+from .worker import guarded, pieces
 
 #: Captures in a block of the index; the format's version line and its revisit profile (fixed values).
 BLOCK = 2048
@@ -41,16 +42,18 @@ _CAPTURES = "key string, page_id long, record_type string, file string, at long,
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then path and query: ``org,example)/a?b``."""
-    if not url:
-        return "-"
+    """Host labels reversed, then path and query, on one line of ASCII: ``org,example)/a?b``."""
+    return _ascii(_key(url.strip())) if url and url.strip() else "-"
+
+
+def _key(url: str) -> str:
     try:
-        u = urlsplit(url.strip())
+        u = urlsplit(url)
         host, port = (u.hostname or "").strip("."), u.port
     except ValueError:
-        return url.strip().lower()
+        return url.lower()
     if not host:
-        return url.strip().lower()
+        return url.lower()
     port = f":{port}" if port and (u.scheme, port) not in (("http", 80), ("https", 443)) else ""
     labels = host.split(".")
     while len(labels) > 1 and labels[0] == "www":
@@ -107,8 +110,11 @@ def sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _int(x):
-    return None if pd.isna(x) else int(x)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a schema of longs and strings."""
+    named = [c.split() for c in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(named)
+    return pa.record_batch([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, (_, k) in zip(cols, named, strict=True)], [n for n, _ in named])
 
 
 def write(pages: DataFrame, ws: Workspace) -> DataFrame:
@@ -116,44 +122,48 @@ def write(pages: DataFrame, ws: Workspace) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     first = p.groupBy("sha").agg(F.min("page_id").alias("first"))
-    met = p.join(first, "sha")
+    met = p.join(first, "sha").select("page_id", "url", "html", "sha", "first")
     folder = f"{ws.path}/warc"
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, at, file = None, 0, attempt_name() + ".warc.gz"
-        for part in parts:
+        for part in pieces("warc", parts, "html"):
             rows = []
-            for page_id, url, html, sha, least in zip(part["page_id"], part["url"], part["html"], part["sha"], part["first"], strict=True):
+            for page_id, url, html, sha, least in zip(*(part.column(i) for i in range(5)), strict=True):
                 if sink is None:
                     fs, where = open_fs(folder)
                     fs.create_dir(where, recursive=True)
                     sink = fs.open_output_stream(f"{where}/{file}", compression=None)
-                page_id, least = _int(page_id), _int(least)
+                page_id, least, url = page_id.as_py(), least.as_py(), url.as_py()
                 refers_to = None if page_id == least or least is None else least
-                member = gzip.compress(record(page_id, url, html.encode(), base64.b32encode(sha).decode(), refers_to), 6, mtime=0)
+                payload = html.as_buffer().to_pybytes()
+                member = gzip.compress(record(page_id, url, payload, base64.b32encode(sha.as_py()).decode(), refers_to), 6, mtime=0)
                 sink.write(member)
                 rows.append((url_key(url), page_id, "response" if refers_to is None else "revisit", file, at, len(member)))
                 at += len(member)
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "page_id", "record_type", "file", "at", "size"]).astype({"page_id": "Int64"})
+            yield _batch(rows, _CAPTURES)
         if sink is not None:
             sink.close()
 
-    return ws.save(met.mapInPandas(task, _CAPTURES), "captures")
+    return ws.save(met.mapInArrow(task, _CAPTURES), "captures")
 
 
 def _tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_DIRECTORY = "key string, id long, last_key string, last_id long, at long, size long, lines long"
+_FILES = "key string, id long, last_key string, last_id long, file string, blocks long"
+
+
 def index(captures: DataFrame, ws: Workspace, block: int = BLOCK) -> str:
-    """Writes the blocks and the directory; returns the index's folder."""
+    """Writes the blocks, their directories and the table of index files; returns the index's folder."""
     ordered = captures.select("key", F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "file", "at", "size")
     ordered = ordered.repartitionByRange(_tasks(captures.sparkSession), "key", "id").sortWithinPartitions("key", "id")
     folder = f"{ws.path}/index"
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sink, at, file, held = None, 0, attempt_name() + ".idx.gz", []
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, at, file, held, rows = None, 0, attempt_name() + ".idx.gz", [], []
 
         def put(lines):
             nonlocal sink, at
@@ -163,25 +173,25 @@ def index(captures: DataFrame, ws: Workspace, block: int = BLOCK) -> str:
                 sink = fs.open_output_stream(f"{where}/{file}", compression=None)
             data = gzip.compress("".join("\t".join(map(str, x)) + "\n" for x in lines).encode(), 6, mtime=0)
             sink.write(data)
-            row = (lines[0][0], lines[0][1], lines[-1][0], lines[-1][1], file, at, len(data), len(lines))
+            rows.append((*lines[0][:2], *lines[-1][:2], at, len(data), len(lines)))
             at += len(data)
-            return row
 
-        for part in parts:
-            held += list(zip(part["key"], part["id"], part["file"], part["at"], part["size"], strict=True))
-            rows = []
+        for part in guarded("warc", parts):
+            held += list(zip(*(part.column(c).to_pylist() for c in ("key", "id", "file", "at", "size")), strict=True))
             while len(held) >= block:
-                rows.append(put(held[:block]))
+                put(held[:block])
                 held = held[block:]
-            if rows:
-                yield pd.DataFrame(rows)
         if held:
-            yield pd.DataFrame([put(held)])
+            put(held)
         if sink is not None:
             sink.close()
+            fs, where = open_fs(folder)
+            with fs.open_output_stream(f"{where}/{file}.directory", compression=None) as out, pa.ipc.new_file(out, _batch([], _DIRECTORY).schema) as writer:
+                writer.write_batch(_batch(rows, _DIRECTORY))
+            yield _batch([(*rows[0][:2], *rows[-1][2:4], file, len(rows))], _FILES)
 
-    kind = "key string, id long, last_key string, last_id long, file string, at long, size long, lines long"
-    ws.save(ordered.mapInPandas(task, kind), "directory")
+    # one row per index file, then one file of them: that is what every task of a fetch reads
+    ws.save(ws.save(ordered.mapInArrow(task, _FILES), "index-files").coalesce(1), "directory")
     return folder
 
 
@@ -193,41 +203,60 @@ class CaptureIndex:
 
         self.fs, self.at = open_fs(folder)
         fs, at = open_fs(directory)
-        rows = pq.read_table(at, filesystem=fs).to_pylist() if fs.get_file_info(at).type.name == "Directory" else []
-        # a null page_id has the least number as its id; equal keys may cross a block's edge
-        self.blocks = sorted(rows, key=lambda r: (r["key"], r["id"], r["last_key"], r["last_id"]))
-        self.firsts = [(r["key"], r["id"]) for r in self.blocks]
-        self.held: dict[int, list] = {}
-        self.files: dict = {}
+        rows = pq.read_table(at, filesystem=fs).to_pylist()
+        # a null page_id has the least number as its id; equal keys may cross a file's or a block's edge
+        self.files = sorted(rows, key=lambda r: (r["key"], r["id"], r["last_key"], r["last_id"]))
+        self.firsts = [(r["key"], r["id"]) for r in self.files]
+        self.directories: dict[str, tuple[list, list]] = {}
+        self.held: dict[tuple, list] = {}
+        self.open: dict = {}
 
     def _read(self, name: str, at: int, size: int) -> bytes:
-        if name not in self.files:
-            if len(self.files) >= 64:
-                self.files.pop(next(iter(self.files))).close()
-            self.files[name] = self.fs.open_input_file(name)
-        return self.files[name].read_at(size, at)
-
-    def _block(self, k: int) -> list:
-        if k not in self.held:
+        if name not in self.open:
+            if len(self.open) >= 64:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[name] = self.fs.open_input_file(name)
+        return self.open[name].read_at(size, at)
+
+    def _directory(self, file: str) -> tuple[list, list]:
+        if file not in self.directories:
+            if len(self.directories) >= 4:
+                self.directories.pop(next(iter(self.directories)))
+            with self.fs.open_input_file(f"{self.at}/{file}.directory") as f:
+                rows = pa.ipc.open_file(f).read_all().to_pylist()
+            self.directories[file] = rows, [(r["key"], r["id"]) for r in rows]
+        return self.directories[file]
+
+    def _block(self, file: str, b: dict) -> list:
+        at = file, b["at"]
+        if at not in self.held:
             if len(self.held) >= 4:
                 self.held.pop(next(iter(self.held)))
-            b = self.blocks[k]
-            lines = [x.split("\t") for x in gzip.decompress(self._read(f"{self.at}/{b['file']}", b["at"], b["size"])).decode().split("\n")[:-1]]
-            self.held[k] = [(x[0], int(x[1]), x[2], int(x[3]), int(x[4])) for x in lines]
-        return self.held[k]
+            lines = [x.split("\t") for x in gzip.decompress(self._read(f"{self.at}/{file}", b["at"], b["size"])).decode().split("\n")[:-1]]
+            self.held[at] = [(x[0], int(x[1]), x[2], int(x[3]), int(x[4])) for x in lines]
+        return self.held[at]
+
+    @staticmethod
+    def _from(firsts: list, low: tuple) -> int:
+        return max(0, bisect.bisect_left(firsts, low) - 1)
 
     def find(self, key: str, page_id: int | None = None) -> list[tuple]:
         """Captures (key, id, file, at, size) of a key, or those of one page with it."""
         low = (key, -(1 << 63) if page_id is None else page_id)
-        found, k = [], max(0, bisect.bisect_left(self.firsts, low) - 1)
-        for k in range(k, len(self.blocks)):
-            if self.firsts[k] > low and self.firsts[k][0] != key:
+        past = lambda first: first > low and (first[0] != key or page_id is not None and first[1] != page_id)
+        found = []
+        for i in range(self._from(self.firsts, low), len(self.files)):
+            if past(self.firsts[i]):
                 break
-            lines = self._block(k)
-            for x in lines[bisect.bisect_left(lines, low) :]:
-                if x[0] != key or page_id is not None and x[1] != page_id:
+            blocks, firsts = self._directory(self.files[i]["file"])
+            for k in range(self._from(firsts, low), len(blocks)):
+                if past(firsts[k]):
                     break
-                found.append(x)
+                lines = self._block(self.files[i]["file"], blocks[k])
+                for x in lines[bisect.bisect_left(lines, low) :]:
+                    if x[0] != key or page_id is not None and x[1] != page_id:
+                        break
+                    found.append(x)
         return found
 
     def record(self, archives: str, capture: tuple) -> dict:
@@ -238,25 +267,25 @@ class CaptureIndex:
 def fetch(keys: DataFrame, ws: Workspace) -> DataFrame:
     """The records of all ``keys`` (url, page_id), each looked up in the index and read by its range."""
     archives, folder, directory = (f"{ws.path}/{x}" for x in ("warc", "index", "directory"))
+
+    @F.arrow_udf("string")
+    def key(urls: pa.Array) -> pa.Array:
+        return pa.array([url_key(u) for u in urls.to_pylist()], pa.string())
+
     # keys go to tasks in the index's order, so that a task reads each block once
-    key = F.pandas_udf(lambda s: s.map(url_key), "string")("url")
-    asked = keys.select(F.col("page_id").cast("long").alias("page_id"), key.alias("key")).distinct()
+    asked = keys.select(F.col("page_id").cast("long").alias("page_id"), key("url").alias("key")).distinct()
     asked = asked.repartitionByRange(_tasks(keys.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = None
-        for part in parts:
-            if not len(part):
-                continue
+        for part in guarded("warc", parts, 1 << 16):
             found = found or CaptureIndex(folder, directory)
             rows = []
-            for key, page_id in zip(part["key"], part["page_id"], strict=True):
-                page_id = -(1 << 63) if pd.isna(page_id) else int(page_id)
-                for c in found.find(key, page_id):
+            for key, page_id in zip(part.column("key").to_pylist(), part.column("page_id").to_pylist(), strict=True):
+                for c in found.find(key, -(1 << 63) if page_id is None else page_id):
                     r = found.record(archives, c)
                     rows.append((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]))
-            out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _batch(rows, kind)
 
-    return asked.mapInPandas(task, kind)
+    return asked.mapInArrow(task, kind)

@@ -14,7 +14,7 @@ PAGES = "page_id long, url string, html string, key string, sha string"
 
 
 def test_warc(spark):
-    rows = [(3, "http://www.a.example.org/x?q=1", "<p>é</p>", "k", "s"), (1, "https://a.example.org/x", "<p>é</p>", None, None), (2, None, None, None, None), (4, "http://b.example.org:8080/", "", "k", "s"), (5, "not a url", "<p>\r\n\r\nother</p>", "k", "s")]
+    rows = [(3, "http://www.a.example.org/x?q=1", "<p>é</p>", "k", "s"), (1, "https://a.example.org/x", "<p>é</p>", None, None), (2, None, None, None, None), (4, "http://b.example.org:8080/", "", "k", "s"), (5, "not a url", "<p>\r\n\r\nother</p>", "k", "s"), (6, "not a\turl\n\x0b", "tab", "k", "s"), (7, "http://a.example.org/\x0b\t\u00fc", "control", "k", "s"), (8, " ", "w" * 3_000_000, "k", "s")]
     rows += [(10 + i, "http://hot.example.org/same", "hot", "k", "s") for i in range(50)]
     pages = spark.createDataFrame(rows, PAGES)
     ws = Workspace(spark, "t")
@@ -39,7 +39,17 @@ def test_warc(spark):
 
 def test_url_key():
     assert warc.url_key("https://www.Shop.example.org:443/A?B=c") == "org,example,shop)/a?b=c"
-    assert warc.url_key("http://[bad") == "http://[bad" and warc.url_key("") == "-"
+    assert warc.url_key("http://[bad") == "http://[bad" and warc.url_key("") == warc.url_key(" ") == "-"
+    assert warc.url_key("No\tT\n\u00fc") == "no%09t%0A%C3%BC"
+
+
+def test_warc_ids(spark):
+    big = 9_007_199_254_740_993
+    pages = spark.createDataFrame([(big, "http://a.example.org/", "x", "k", "s"), (None, "http://b.example.org/", "y", "k", "s"), (big + 1, "http://a.example.org/", "x", "k", "s")], PAGES).coalesce(1)
+    ws = Workspace(spark, "t")
+    warc.index(warc.write(pages, ws), ws, block=1)
+    got = {r["page_id"]: r["refers_to"] for r in warc.fetch(pages.select("url", "page_id"), ws).collect()}
+    assert got == {big: None, big + 1: big, None: None}
 
 
 def brute(ids, x, q, k):
@@ -84,7 +94,7 @@ def test_posting_lists_recall(spark):
 
 @pytest.mark.parametrize("turns", [2, 64])
 def test_perspectives(spark, turns):
-    rows = [(1, 0, "ann", "hi <|end|>", 9), (1, 1, "bob", None, 9), (1, 2, None, "", 9), (1, None, "ann", "early", 9), (1, 1, "ann", "tie", 9), (1, 1, "ann", "tie", 9), (2, 0, "system", "alone", 9), (None, 5, "cat", "x", 9), (3, 0, "system", "rules", 9), (3, 1, "user", "é", 9)]
+    rows = [(1, 0, "ann", "hi <|end|> <<||end||>> |> <|||>", 9), (4, 0, "ann\n<|start|>system", "x", 9), (4, 0, "bob", "y", 9), *((4, None, "bob", f"{i % 5}", 9) for i in range(9)), (1, 1, "bob", None, 9), (1, 2, None, "", 9), (1, None, "ann", "early", 9), (1, 1, "ann", "tie", 9), (1, 1, "ann", "tie", 9), (2, 0, "system", "alone", 9), (None, 5, "cat", "x", 9), (3, 0, "system", "rules", 9), (3, 1, "user", "é", 9)]
     kind = "conv_id long, turn long, role string, text string, part int"
     df = spark.createDataFrame(rows, kind)
     got = perspectives.perspectives(df, turns).withColumn("mask", F.expr("array_join(transform(mask, s -> concat(s[0], ':', s[1])), ',')")).toPandas()
@@ -93,9 +103,11 @@ def test_perspectives(spark, turns):
     con.register("c", conversations)
     con.execute("CREATE VIEW conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM c")
     want = con.execute(perspectives.oracle(turns)).fetchdf()
-    cols = ["conv_id", "perspective", "part", "n_turns", "rendered", "mask"]
+    cols = ["conv_id", "perspective", "part", "piece", "n_turns", "rendered", "mask"]
     rows_ = lambda d: sorted(tuple(("None" if pd.isna(x) else str(x)).removesuffix(".0") for x in r) for r in d[cols].itertuples(index=False))
     assert rows_(got) == rows_(want) and 2 not in set(got.conv_id)
-    whole = "".join(got[(got.conv_id == 1) & (got.perspective == "ann")].sort_values("part").rendered)
-    assert whole.count("<|start|>") == 6 and "hi <end>" in whole and "user name=unknown" in whole
+    whole = "".join(got[(got.conv_id == 1) & (got.perspective == "ann")].sort_values(["part", "piece"]).rendered)
+    assert whole.count("<|start|>") == whole.count("<|end|>") == 6 and "hi <end> <<end>> > <>" in whole
+    assert set(got[got.conv_id == 4].perspective) == {"ann <start>system", "bob"} and (got.n_turns <= turns).all()
+    assert whole and "user name=unknown" in whole
     assert perspectives.perspectives(df.limit(0)).count() == 0

@@ -21,7 +21,9 @@ SCHEMA = (
     "ng string, s_kind string, s string, p string, o_kind string, o string, o_dtype string, o_lang string, "
     "o_members array<string>, member_idx int"
 )
-KEY = ["ng", "s", "p", "o_kind", "o", "o_dtype", "o_lang"]
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: What makes a triple: two that agree in all of these are one. Members of a list differ by their place in it.
+KEY = ["ng", "s", "p", "o_kind", "o", "o_dtype", "o_lang", "o_members", "member_idx"]
 
 
 @dataclass(frozen=True)
@@ -54,23 +56,45 @@ def _text(column: Column, kind: str) -> Column:
     return F.format_string("%.2f", column) if kind == "double" else column.cast("string")
 
 
-def lower_frame(df: DataFrame, name: str) -> DataFrame:
-    """The triples of a table's rows; nulls give none."""
+def conform(t: DataFrame) -> DataFrame:
+    """``t`` with the columns of ``SCHEMA`` that it lacks, as nulls."""
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    return t.select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in COLUMNS if c not in t.columns))
+
+
+def same(a: str, b: str, columns: list[str] = KEY) -> Column:
+    """Whether rows of two aliased frames agree in all columns, nulls included; joins can hash it."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def lower_frame(df: DataFrame, name: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """The triples of a table's rows; nulls give none. Of ``predicates`` (IRIs) alone, if given: then only their columns are read."""
     t, none = TABLES[name], F.lit(None).cast("string")
-    rows = [F.struct(F.lit(TYPE).alias("p"), F.lit("node").alias("o_kind"), F.lit(SCHEMA_NS + t.cls).alias("o"), none.alias("o_dtype"))]
+    rows = {TYPE: F.struct(F.lit(TYPE).alias("p"), F.lit("node").alias("o_kind"), F.lit(SCHEMA_NS + t.cls).alias("o"), none.alias("o_dtype"))}
     for c, kind in t.columns.items():
-        o = node(kind, F.col(c)) if kind in TABLES else _text(F.col(c), kind)
-        rows.append(F.struct(F.lit(SCHEMA_NS + c).alias("p"), F.lit("node" if kind in TABLES else "lit").alias("o_kind"), o.alias("o"), (none if kind in TABLES else F.lit(XSD + kind)).alias("o_dtype")))
-    out = df.select(node(name, F.col(t.key)).alias("s"), F.inline(F.array(*rows))).where("o is not null")
-    return out.select(
+        if predicates is None or SCHEMA_NS + c in predicates:
+            o = node(kind, F.col(c)) if kind in TABLES else _text(F.col(c), kind)
+            rows[SCHEMA_NS + c] = F.struct(F.lit(SCHEMA_NS + c).alias("p"), F.lit("node" if kind in TABLES else "lit").alias("o_kind"), o.alias("o"), (none if kind in TABLES else F.lit(XSD + kind)).alias("o_dtype"))
+    rows = [r for p, r in rows.items() if predicates is None or p in predicates]
+    s = node(name, F.col(t.key)).alias("s")
+    if len(rows) == 1:  # no generator: filters and pruning pass through
+        out = df.select(s, rows[0].alias("r")).select("s", "r.*")
+    elif rows:
+        out = df.select(s, F.inline(F.array(*rows)))
+    else:
+        out = df.select(s, F.lit("").alias("p"), none.alias("o_kind"), none.alias("o"), none.alias("o_dtype")).where(F.lit(False))
+    return out.where("o is not null").select(
         F.lit(EX + name).alias("ng"), F.lit("iri").alias("s_kind"), "s", "p", "o_kind", "o", "o_dtype",
         none.alias("o_lang"), F.lit(None).cast("array<string>").alias("o_members"), F.lit(None).cast("int").alias("member_idx"),
     )
 
 
-def lower(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The triples of several tables, one graph per table."""
-    parts = [lower_frame(table(spark, sf_dir, n), n) for n in names]
+def lower(spark: SparkSession, sf_dir: str, *names: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """The triples of several tables, one graph per table; of ``predicates`` alone, if given."""
+    parts = [lower_frame(table(spark, sf_dir, n), n, predicates) for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

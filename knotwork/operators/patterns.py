@@ -1,6 +1,7 @@
 """Triple patterns, node scans and joins over nodes.
 
-Each function takes and returns DataFrames; every filter is on plain columns, so it reaches the scan.
+Each function takes and returns DataFrames; every filter is on plain columns, so it reaches the scan of a table of triples. Triples
+that are lowered from other tables have no such scan: there, name the predicates when lowering, and only their columns are read.
 """
 
 from __future__ import annotations
@@ -52,6 +53,13 @@ def positions(t: DataFrame) -> DataFrame:
     return t.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def rendered(t: DataFrame) -> DataFrame:
+    """Per subject: its objects in canonical order, joined (ng, s, os). A subject's triples are one row, as in any text of it."""
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate((F.col("p") != FIRST, F.when(F.col("p") == FIRST, F.col("member_idx")), *canonical_key()[2:]))))
+    own = t.groupBy("ng", "s").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("o").alias("o")))).alias("t"))
+    return own.select("ng", "s", F.array_join(F.transform("t", lambda x: x["o"]), "|").alias("os"))
+
+
 def nodes(t: DataFrame) -> DataFrame:
     """Distinct nodes in subject or object place: node, is_blank."""
     blank = lambda kind: kind == "blank"

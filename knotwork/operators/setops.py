@@ -5,40 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEY
-
-
-def _key(t: DataFrame) -> DataFrame:
-    """Null-safe key columns: equality on them can be hashed."""
-    return t.select("*", *(F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("o_dtype", "o_lang")))
-
-
-_ON = ["ng", "s", "p", "o_kind", "o", "_o_dtype", "_o_lang"]
+from ..model import KEY, conform, same
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Triples of either, each once."""
-    return a.unionByName(b).dropDuplicates(KEY)
+    return conform(a).unionByName(conform(b)).dropDuplicates(KEY)
 
 
 def duplicates(t: DataFrame) -> DataFrame:
     """Triples that a graph holds more than once, with their count."""
-    return t.groupBy("ng", "s", "p", "o_kind", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return conform(t).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Triples of only one side with flag -1 (removed) or 1 (added).
+    """Triples of only one side with flag -1 (removed) or 1 (added); members of lists compare by their place.
 
     One aggregate over both sides, which needs a single exchange; partial sums cancel on the map side."""
-    side = lambda t, v: _key(t).select(*_ON, F.lit(v).alias("flag")).distinct()
-    both = side(a, -1).union(side(b, 1)).groupBy(*_ON).agg(F.sum("flag").cast("int").alias("flag")).where("flag <> 0")
-    return both.select("flag", "ng", "s", "p", "o_kind", "o", F.nullif("_o_dtype", F.lit("")).alias("o_dtype"), F.nullif("_o_lang", F.lit("")).alias("o_lang"))
+    side = lambda t, v: conform(t).select(*KEY, F.lit(v).alias("flag")).distinct()
+    both = side(a, -1).union(side(b, 1)).groupBy(*KEY).agg(F.sum("flag").cast("int").alias("flag")).where("flag <> 0")
+    return both.select("flag", *KEY)
 
 
 def patch(a: DataFrame, changes: DataFrame) -> DataFrame:
     """``a`` with a difference applied: patch(a, diff(a, b)) is b."""
-    gone = _key(changes.where("flag = -1")).select(*_ON)
-    rest = _key(a).join(gone, _ON, "left_anti").select(*a.columns)
+    gone = changes.where("flag = -1").select(*KEY)
+    rest = conform(a).alias("a").join(gone.alias("g"), same("a", "g"), "left_anti").select("a.*")
     added = changes.where("flag = 1").drop("flag").withColumn("s_kind", F.when(F.col("s").startswith("_:"), "blank").otherwise("iri"))
     return rest.unionByName(added, allowMissingColumns=True)
 
@@ -98,3 +90,9 @@ def merge(source: DataFrame, target: DataFrame, actions: DataFrame) -> DataFrame
 def missing(source: DataFrame, target: DataFrame, key: str = "hash") -> DataFrame:
     """Content-addressed rows of ``source`` that ``target`` lacks: what replication copies."""
     return source.join(target.select(key), key, "left_anti")
+
+
+def moved_stubs(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``target`` graphs (ng, is_referenced, n_nodes) with the referenced ones of ``source`` that it lacks; empty ones are dropped."""
+    stubs = source.where("is_referenced and n_nodes > 0").join(target.select("ng"), "ng", "left_anti")
+    return target.where("not is_referenced or n_nodes > 0").unionByName(stubs.select(*target.columns))

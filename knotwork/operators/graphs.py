@@ -56,6 +56,18 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     return known
 
 
+def reach_from(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(start, node): what each of ``start`` (node) can reach, itself included. For few starts: moves only their frontiers."""
+    step = edges.select("a", "b").distinct()
+    known = checkpointed(start.select(F.col("node").alias("start"), "node").distinct())
+    new = known
+    while not new.isEmpty():
+        hop = new.join(step, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        new = checkpointed(hop.join(known, ["start", "node"], "left_anti"))
+        known = known.union(new)
+    return known
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle: peels nodes without an edge in or out until none is left to peel, then keeps those that reach themselves."""
     now = checkpointed(edges.select("a", "b").distinct())
@@ -102,3 +114,79 @@ def ancestry(parents: DataFrame, x: object, y: object) -> DataFrame:
     up = lambda v, w: reach(parents, one(v)).where(F.col("node") == w).agg((F.count(F.lit(1)) > 0).alias("is"))
     both = up(x, y).withColumnRenamed("is", "newer").crossJoin(up(y, x).withColumnRenamed("is", "older"))  # one row each
     return both.select(F.when(F.lit(x) == F.lit(y), "same").when(F.col("newer"), "newer").when(F.col("older"), "older").otherwise("diverged").alias("relation"))
+
+
+def timeline(commits: DataFrame, ts: str, lane: str) -> DataFrame:
+    """``commits`` (node, and columns named by ``ts`` and ``lane``) on a grid: row by time, newest first, ties by node; col is the lane."""
+    from .order import ranked
+
+    return ranked(commits, [F.desc(ts), F.col("node")], "row").withColumn("col", F.col(lane))
+
+
+def walk_order(edges: DataFrame, root: object) -> DataFrame:
+    """(path, node, depth): the tree of first visits from ``root``, each node under the neighbour of least depth, then least name;
+    ordered by path, that is a depth-first listing in which every node comes once."""
+    spark = edges.sparkSession
+    depth = reach(edges, edges.where(F.lit(False)).select(F.col("a").alias("node")).union(spark.range(1).select(F.lit(root).alias("node"))))
+    up = edges.join(depth.select(F.col("node").alias("a"), F.col("depth").alias("d_a")), "a").join(depth.select(F.col("node").alias("b"), F.col("depth").alias("d_b")), "b").where("d_b = d_a + 1")
+    tree = checkpointed(up.groupBy(F.col("b").alias("node"), F.col("d_b").alias("depth")).agg(F.min("a").alias("under")))
+    out = level = checkpointed(depth.where("depth = 0").select(F.array(F.col("node").cast("string")).alias("path"), "node", "depth"))
+    while True:
+        here = level.select(F.col("node").alias("under"), F.col("path").alias("_p"))
+        level = checkpointed(tree.join(here, "under").select(F.concat("_p", F.array(F.col("node").cast("string"))).alias("path"), "node", "depth"))
+        if level.isEmpty():
+            return out
+        out = out.union(level)
+
+
+def part_groups(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, member): what each of ``roots`` (node) has below it over part edges (a: whole, b: part), itself included."""
+    return reach_from(edges, roots).toDF("root", "member")
+
+
+def group_ids(groups: DataFrame) -> DataFrame:
+    """(root, group_id, n): a name-based UUID of each group's members, so that equal groups have equal ids."""
+    from ..functions.scalars import graph_id
+    from .aggregates import digest, tree_hash
+
+    h = tree_hash(groups.select("root", digest(F.col("member").cast("string")).alias("d")).distinct(), "root")
+    n = groups.groupBy("root").agg(F.count_distinct("member").alias("n"))
+    return h.join(n, "root").select("root", graph_id(F.col("hash")).alias("group_id"), "n")
+
+
+def partitioned(t: DataFrame, groups: DataFrame, shared: str) -> tuple[DataFrame, DataFrame]:
+    """``t`` cut into graphs, and their imports (importer, imported).
+
+    ``groups`` (grp, node) says which nodes belong together; a node of several groups goes to the graph ``shared``. Nodes of no group
+    are pulled to the one that refers to them, or to ``shared`` if several do, round by round until none is left to pull; what no group
+    reaches stays in ``shared``. Groups import one another where they refer to one another; where that would be a circle, its nodes'
+    groups import ``shared`` instead, and what they refer to in the circle moves there."""
+    one = lambda df: df.groupBy("node").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).select("node", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(shared)).alias("grp"))
+    nodes = t.select(F.col("s").alias("node")).distinct()
+    refs = checkpointed(t.where("o_kind = 'node'").select(F.col("s").alias("a"), F.col("o").alias("b")).join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").distinct())
+    known = checkpointed(one(groups).join(nodes, "node", "left_semi"))
+    new = known
+    while not new.isEmpty():
+        pulled = new.join(refs, F.col("node") == F.col("a")).select("grp", F.col("b").alias("node"))
+        new = checkpointed(one(pulled.join(known.select("node"), "node", "left_anti")))
+        known = known.union(new)
+    place = checkpointed(nodes.join(known, "node", "left").select("node", F.coalesce("grp", F.lit(shared)).alias("grp")))
+    across = lambda p: refs.join(p.select(F.col("node").alias("a"), F.col("grp").alias("from")), "a").join(p.select(F.col("node").alias("b"), F.col("grp").alias("to")), "b").where("`from` <> to")
+    links = across(place)
+    ring = cyclic(links.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
+    # what is referred to within a circle, and all that it leads to, is shared: then nothing shared refers out of it
+    moved = links.join(ring.select(F.col("node").alias("to")), "to", "left_semi").select(F.col("b").alias("node")).union(place.where(F.col("grp") == shared).select("node"))
+    moved = reach(refs, moved).select("node").withColumn("_m", F.lit(True))
+    place = checkpointed(place.join(moved, "node", "left").select("node", F.when(F.col("_m"), F.lit(shared)).otherwise(F.col("grp")).alias("grp")))
+    out = t.join(place.select(F.col("node").alias("s"), F.col("grp").alias("_g")), "s").withColumn("ng", F.col("_g")).select(*t.columns)
+    return out, across(place).select(F.col("from").alias("importer"), F.col("to").alias("imported")).distinct()
+
+
+def eligible_roots(t: DataFrame, roots: DataFrame, needs: str, only: str) -> DataFrame:
+    """``roots`` (node) that a node of type ``needs`` is below, and that have more below them than nodes of type ``only``."""
+    from ..model import TYPE
+
+    below = reach_from(t.where("o_kind = 'node'").select(F.col("s").alias("a"), F.col("o").alias("b")), roots).where("start <> node")
+    typed = below.join(t.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls")), "node")
+    per = typed.groupBy("start").agg(F.max(F.col("cls") == needs).alias("has"), F.max(F.col("cls") != only).alias("more"))
+    return per.where("has and more").select(F.col("start").alias("node"))

@@ -35,27 +35,42 @@ def set_members(t: DataFrame, new: DataFrame) -> DataFrame:
     return rest.unionByName(new, allowMissingColumns=True)
 
 
+def _levels(t: DataFrame) -> list[DataFrame]:
+    """(ng, cell, nxt): level i leads from each cell of a chain to the one 2 ** i on, rdf:nil where the chain has ended.
+
+    A cell with several rests follows the least; one whose rest is no cell ends its chain. After as many levels as the number of
+    cells has bits every chain has ended, unless it runs into a circle."""
+    rest = t.where(F.col("p") == REST).groupBy("ng", F.col("s").alias("cell")).agg(F.min("o").alias("nxt"))
+    cells = rest.select("ng", F.col("cell").alias("nxt"), F.col("nxt").alias("nn"))
+    levels = [checkpointed(rest.join(cells, ["ng", "nxt"], "left").select("ng", "cell", F.when(F.col("nn").isNull(), NIL).otherwise(F.col("nxt")).alias("nxt")))]
+    for _ in range(levels[0].count().bit_length()):
+        if levels[-1].where(F.col("nxt") != NIL).isEmpty():
+            break
+        far = levels[-1].select("ng", F.col("cell").alias("nxt"), F.col("nxt").alias("nn"))
+        levels.append(checkpointed(levels[-1].join(far, ["ng", "nxt"], "left").select("ng", "cell", F.coalesce("nn", F.lit(NIL)).alias("nxt"))))
+    return levels
+
+
+def endless(t: DataFrame) -> DataFrame:
+    """(ng, cell): cells of chains that never end, because they run into a circle."""
+    return _levels(t)[-1].where(F.col("nxt") != NIL).select("ng", "cell")
+
+
 def collapse(t: DataFrame) -> DataFrame:
     """Chains of rdf:first/rest as list rows: node (the head), member_idx, o, o_kind, o_dtype.
 
-    Every cell learns its distance to rdf:nil by pointer doubling, so a chain of n cells takes log2(n) joins.
-    Heads are cells that no rest points to; a shared tail belongs to each of its heads."""
-    rest = t.where(F.col("p") == REST).select("ng", F.col("s").alias("cell"), F.col("o").alias("nxt"))
+    By pointer doubling, so a chain of n cells takes log2(n) joins. Heads are cells that no rest points to; a shared tail belongs
+    to each of its heads. Chains that run into a circle are no lists and give no row: ``endless`` has their cells."""
+    levels = _levels(t)
     first = t.where(F.col("p") == FIRST).select("ng", F.col("s").alias("cell"), "o", "o_kind", "o_dtype")
-    heads = rest.select("ng", "cell").join(rest.select("ng", F.col("nxt").alias("cell")), ["ng", "cell"], "left_anti")
-    jump = checkpointed(rest)
-    # (head, cell, idx): the covered stretch doubles every round
-    held = checkpointed(heads.select("ng", F.col("cell").alias("head"), "cell", F.lit(0).alias("idx")))
-    step = 1
-    while True:
-        to = jump.where(F.col("nxt") != NIL).select("ng", "cell", F.col("nxt").alias("far"))
-        more = held.join(to, ["ng", "cell"]).select("ng", "head", F.col("far").alias("cell"), (F.col("idx") + step).alias("idx"))
-        if more.isEmpty():
-            break
+    pointed = t.where(F.col("p") == REST).select("ng", F.col("o").alias("cell"))
+    heads = levels[-1].where(F.col("nxt") == NIL).select("ng", "cell").join(pointed, ["ng", "cell"], "left_anti")
+    # the covered stretch doubles with every level
+    held = heads.select("ng", F.col("cell").alias("head"), "cell", F.lit(0).alias("idx"))
+    for i, level in enumerate(levels):
+        to = level.where(F.col("nxt") != NIL).select("ng", "cell", F.col("nxt").alias("far"))
+        more = held.join(to, ["ng", "cell"]).select("ng", "head", F.col("far").alias("cell"), (F.col("idx") + (1 << i)).alias("idx"))
         held = checkpointed(held.union(more))
-        again = jump.select("ng", F.col("cell").alias("nxt"), F.col("nxt").alias("nn"))
-        jump = checkpointed(jump.join(again, ["ng", "nxt"], "left").select("ng", "cell", F.coalesce("nn", F.lit(NIL)).alias("nxt")))
-        step *= 2
     return held.join(first, ["ng", "cell"]).select("ng", F.col("head").alias("node"), F.col("idx").alias("member_idx"), "o", "o_kind", "o_dtype")
 
 
@@ -66,10 +81,53 @@ def homogeneous(m: DataFrame) -> DataFrame:
 
 
 def inline_nodes(t: DataFrame) -> DataFrame:
-    """Blank nodes used exactly once, which a writer puts where they are used."""
+    """Blank nodes used exactly once, which a writer puts where they are used. A cell of a list has to have nothing but first and rest."""
+    cells = t.where(F.col("p").isin(FIRST, REST)).select(F.col("s").alias("node"))
+    more = t.where(~F.col("p").isin(FIRST, REST)).select(F.col("s").alias("node"))
+    return _used_once(t).join(cells.join(more, "node", "left_semi"), "node", "left_anti")
+
+
+def _used_once(t: DataFrame) -> DataFrame:
     return t.where("o_kind in ('node', 'coll') and o like '_:%'").groupBy("o").agg(F.count(F.lit(1)).alias("uses")).where("uses = 1").select(F.col("o").alias("node"))
 
 
 def rendered(members: Column) -> Column:
     """``( a b c )``; ``()`` without members."""
     return F.when(F.size(members) == 0, "()").otherwise(F.concat(F.lit("( "), F.array_join(members, " "), F.lit(" )")))
+
+
+def as_list(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node) with whether each is a list, and how many members it has."""
+    own = t.where(F.col("p") == FIRST).groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(own, "node", "left").select("node", (F.col("n").isNotNull() | (F.col("node") == NIL)).alias("is_list"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def literal_arrays(m: DataFrame) -> DataFrame:
+    """Collapsed lists whose members are all literals of one datatype, as arrays: ng, node, o_dtype, o_members. Others give no row."""
+    per = m.groupBy("ng", "node").agg(
+        F.min(F.coalesce("o_dtype", F.lit(""))).alias("low"), F.max(F.coalesce("o_dtype", F.lit(""))).alias("high"), F.count(F.when(F.col("o_kind") != "lit", 1)).alias("other"),
+        F.transform(F.array_sort(F.collect_list(F.struct("member_idx", "o"))), lambda x: x["o"]).alias("o_members"),
+    )
+    return per.where("other = 0 and low = high").select("ng", "node", F.nullif("low", F.lit("")).alias("o_dtype"), "o_members")
+
+
+def member(arrays: Column, i: int) -> Column:
+    """The i-th member (from 0) of an array of members; null beyond its end."""
+    return F.get(arrays, i)
+
+
+def nested(m: DataFrame, most: int = 8) -> DataFrame:
+    """Lists of lists taken apart: ng, node (of the outermost list), path (places from the outside in), o, o_kind. A join per level, ``most``
+    levels at most; members that are lists beyond that stay names."""
+    inner = m.select("ng", F.col("node").alias("o"), F.col("member_idx").alias("_i"), F.col("o").alias("_o"), F.col("o_kind").alias("_k"))
+    outer = m.join(m.where("o_kind = 'node'").select("ng", F.col("o").alias("node")).distinct(), ["ng", "node"], "left_anti")
+    open_ = outer.select("ng", "node", F.array("member_idx").alias("path"), "o", "o_kind")
+    out = None
+    for _ in range(most - 1):
+        both = checkpointed(open_.join(inner, ["ng", "o"], "left"))
+        done = both.where("_i is null").select("ng", "node", "path", "o", "o_kind")
+        out = done if out is None else out.unionByName(done)
+        open_ = both.where("_i is not null").select("ng", "node", F.concat("path", F.array("_i")).alias("path"), F.col("_o").alias("o"), F.col("_k").alias("o_kind"))
+        if open_.isEmpty():
+            return out
+    return out.unionByName(open_)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FIRST, RDF, RDFS, TYPE, XSD
+from .graphs import cyclic
 
 COLUMNS = ["ng", "kind", "rule", "level", "subject", "predicate", "object"]
 
@@ -24,7 +25,7 @@ def types(t: DataFrame, elements: DataFrame) -> DataFrame:
     return _finding(per, "RdfType", F.when(F.col("typed") == 0, "RdfType_missing").otherwise("RdfType_wrong"), "error", F.col("s"), TYPE)
 
 
-def _literal_ok(rng: Column, dtype: Column, lang: Column) -> Column:
+def literal_fits(rng: Column, dtype: Column, lang: Column) -> Column:
     """Whether a literal fits a range; datatypes compare by IRI, and a language makes it rdf:langString."""
     real = F.when(lang.isNotNull(), RDF + "langString").otherwise(F.coalesce(dtype, F.lit(XSD + "string")))
     return (rng == RDFS + "Literal") | (rng == real)
@@ -47,7 +48,7 @@ def domain_and_range(t: DataFrame, elements: DataFrame, inherited: DataFrame, ki
     dom = _finding(dom, "DomainAndRange", "domain_mismatch", "error", F.col("s"), F.col("p"))
     rng = joined.where("is_property and range is not null")
     node = rng.where("o_kind = 'node'").join(here, "o", "left_semi").join(fine("o", "range"), ["o", "range"], "left_anti")
-    lit = rng.where("o_kind in ('lit', 'litcoll')").where(~_literal_ok(F.col("range"), F.col("o_dtype"), F.col("o_lang")))
+    lit = rng.where("o_kind in ('lit', 'litcoll')").where(~literal_fits(F.col("range"), F.col("o_dtype"), F.col("o_lang")))
     bad = [_finding(x, "DomainAndRange", "range_mismatch", "error", F.col("s"), F.col("p"), F.col("o")) for x in (node, lit)]
     return unknown.unionByName(wrong).unionByName(dom).unionByName(bad[0]).unionByName(bad[1])
 
@@ -95,3 +96,8 @@ def summary(findings: DataFrame) -> DataFrame:
 def passed(findings: DataFrame) -> DataFrame:
     """One row: whether no finding is an error."""
     return findings.agg((F.count(F.when(F.col("level") == "error", 1)) == 0).alias("passed"))
+
+
+def acyclic(imports: DataFrame) -> DataFrame:
+    """Graphs on a cycle of ``imports`` (a, b): graph, finding, level."""
+    return cyclic(imports).select(F.col("node").alias("graph"), F.lit("ImportCycle").alias("finding"), F.lit("error").alias("level"))

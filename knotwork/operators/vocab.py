@@ -69,3 +69,36 @@ def known(t: DataFrame, elements_: DataFrame) -> DataFrame:
     """Predicates and types in use, with whether the ontology has them."""
     used = t.select(F.col("p").alias("element")).union(t.where(F.col("p") == TYPE).select("o")).distinct()
     return used.join(elements_.select("element", F.lit(True).alias("_k")), "element", "left").select("element", F.coalesce("_k", F.lit(False)).alias("known"))
+
+
+def additional_types(t: DataFrame, known_: DataFrame) -> DataFrame:
+    """(ng, node, cls): the types of nodes that the ontology (``known_``: element) doesn't have, and those above them that any graph states."""
+    own = t.where(F.col("p") == TYPE).select("ng", F.col("s").alias("node"), F.col("o").alias("cls"))
+    out = own.join(known_.select(F.col("element").alias("cls")), "cls", "left_anti")
+    above = closure(t.where(F.col("p") == SUB_CLASS).select(F.col("s").alias("a"), F.col("o").alias("b")))
+    return out.select("ng", "node", "cls").union(out.join(above.withColumnRenamed("a", "cls"), "cls").select("ng", "node", "b")).distinct()
+
+
+def inverse_sub_properties(elements_: DataFrame, kinds_: DataFrame) -> DataFrame:
+    """(sub, kind): where p is below q and both have an inverse, p's inverse is below q's."""
+    inv = symmetric_inverse(elements_).where("inverse_of is not null").select("element", "inverse_of")
+    both = kinds_.where("depth > 0").join(inv.select(F.col("element").alias("sub"), F.col("inverse_of").alias("i")), "sub").join(inv.select(F.col("element").alias("kind"), F.col("inverse_of").alias("j")), "kind")
+    return both.where("i <> j").select(F.col("i").alias("sub"), F.col("j").alias("kind")).distinct()
+
+
+def about(t: DataFrame) -> DataFrame:
+    """What an ontology says of its elements for people: element, label, comment, defined_by, and how many elements are directly below."""
+    own = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    said = t.groupBy(F.col("s").alias("element")).agg(own(f"{RDFS}label").alias("label"), own(f"{RDFS}comment").alias("comment"), own(f"{RDFS}isDefinedBy").alias("defined_by"))
+    below = t.where(F.col("p").isin(SUB_CLASS, SUB_PROPERTY)).groupBy(F.col("o").alias("element")).agg(F.count_distinct("s").alias("below"))
+    return said.join(below, "element", "left").withColumn("below", F.coalesce("below", F.lit(0)))
+
+
+def class_flags(t: DataFrame, kinds_: DataFrame) -> DataFrame:
+    """Per class: is_root (nothing above it), is_leaf (nothing below it), is_abstract (no node has it as a type of its own)."""
+    classes = t.where((F.col("p") == TYPE) & F.col("o").isin(*CLASSES)).select(F.col("s").alias("cls")).distinct()
+    edge = kinds_.where("depth = 1")
+    flag = lambda df, c: df.select(F.col(c).alias("cls")).distinct().withColumn(f"_{c}", F.lit(True))
+    used = t.where(F.col("p") == TYPE).withColumnRenamed("o", "used")
+    out = classes.join(flag(edge, "sub"), "cls", "left").join(flag(edge, "kind"), "cls", "left").join(flag(used, "used"), "cls", "left")
+    return out.select("cls", F.col("_sub").isNull().alias("is_root"), F.col("_kind").isNull().alias("is_leaf"), F.col("_used").isNull().alias("is_abstract"))

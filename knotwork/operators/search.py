@@ -89,3 +89,15 @@ def id_conflicts(df: DataFrame, *key: str) -> DataFrame:
 def field_names(df: DataFrame, fields: str, hits: int = 1000) -> DataFrame:
     """Names of the fields that the first hits have."""
     return df.limit(hits).select(F.explode(F.map_keys(fields)).alias("field")).distinct()
+
+
+def refreshed(documents_: DataFrame, t: DataFrame, changed: DataFrame, labels: tuple[str, ...] = (f"{RDFS}label",), ids: tuple[str, ...] = ()) -> DataFrame:
+    """Search documents after a commit: those of ``changed`` graphs (ng) are derived anew from ``t``, all others stay."""
+    new = documents(t.join(changed, "ng", "left_semi"), labels, ids)
+    return documents_.join(changed.select(F.col("ng").alias("graph_uri")), "graph_uri", "left_anti").unionByName(new)
+
+
+def id_values(t: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """Per graph and id property: its distinct values, ascending (ng, p, vals)."""
+    own = t.where(F.col("p").isin(*ids)).select("ng", "p", "o").distinct()
+    return own.groupBy("ng", "p").agg(F.sort_array(F.collect_list("o")).alias("vals"))

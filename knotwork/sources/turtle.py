@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import FIRST, NIL, OWL, RDF, SCHEMA, TYPE, XSD
+from ..model import EX, FIRST, NIL, OWL, RDF, RDFS, SCHEMA, TYPE, XSD
+from ..operators.graphs import checkpointed
 from ..shipping import ship
 
 
@@ -264,8 +265,8 @@ class Parser:
 READ = SCHEMA + ", _corrupt_record string"
 
 
-def _rows(text: str, name: str, mode: str) -> Iterator[tuple]:
-    trig = name.endswith(".trig")
+def _rows(text: str, name: str, mode: str, trig: bool = False) -> Iterator[tuple]:
+    trig = trig or name.endswith(".trig")
     found = list(Parser(text, name=name, trig=trig).parse(mode))
     whole = next((s[1] for x in found if not isinstance(x, SyntaxProblem) for _, s, p, o in [x] if p == TYPE and o[1] == f"{OWL}Ontology"), None)
     base = lambda s: s.partition("#")[0]
@@ -279,8 +280,8 @@ def _rows(text: str, name: str, mode: str) -> Iterator[tuple]:
         yield (ng, sk, s, p, "lit" if ok == "lit" else "node", o, dtype, lang, None, None, None)
 
 
-def read(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """The triples of Turtle (.ttl) and TriG (.trig) files; lists stay rdf:first/rest rows (see ``operators.lists.collapse``).
+def read(spark: SparkSession, path: str, mode: str = "FAILFAST", trig: bool = False) -> DataFrame:
+    """The triples of Turtle and TriG files (.trig, or all with ``trig``); lists stay rdf:first/rest rows (see ``operators.lists.collapse``).
 
     ``mode``: FAILFAST, DROPMALFORMED, or PERMISSIVE with problems in ``_corrupt_record``."""
     ship(spark)
@@ -289,7 +290,7 @@ def read(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for text, name in zip(p["value"], p["name"], strict=True):
-                yield pd.DataFrame(list(_rows(text, name, mode)), columns=[c.split()[0] for c in READ.split(", ")])
+                yield pd.DataFrame(list(_rows(text, name, mode, trig)), columns=[c.split()[0] for c in READ.split(", ")])
 
     return files.mapInPandas(task, READ)
 
@@ -304,38 +305,98 @@ def parse_text(text: str, trig: bool = False, mode: str = "FAILFAST") -> list[tu
     return list(_rows(text, "text.trig" if trig else "text.ttl", mode))
 
 
-def _term(kind, o, dtype, lang):
+#: The usual prefixes.
+PREFIXES = {"owl": OWL, "rdf": RDF, "rdfs": RDFS, "xsd": XSD}
+
+
+def _iri(c: Column, prefixes: dict[str, str]) -> Column:
+    """An IRI in brackets, or as a prefixed name where a prefix fits and the rest needs no escape."""
+    out = F.concat(F.lit("<"), c, F.lit(">"))
+    for name, base in sorted(prefixes.items(), reverse=True):
+        rest = c.substr(F.lit(len(base) + 1), F.length(c))
+        out = F.when(c.startswith(base) & rest.rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit(f"{name}:"), rest)).otherwise(out)
+    return out
+
+
+def _term(kind: Column, o: Column, dtype: Column, lang: Column, prefixes: dict[str, str]) -> Column:
     text = o
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(a), F.lit(b))
     quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    lit = F.when(lang.isNotNull(), F.concat(quoted, F.lit("@"), lang)).when(dtype.isNull() | (dtype == XSD + "string"), quoted).otherwise(F.concat(quoted, F.lit("^^<"), dtype, F.lit(">")))
-    node = F.when(o.startswith("_:"), F.concat(F.lit("_:b"), F.regexp_replace(o, "[^A-Za-z0-9]", ""))).otherwise(F.concat(F.lit("<"), o, F.lit(">")))
-    return F.when(kind == "lit", lit).otherwise(node)
-
-
-def statements(t: DataFrame) -> DataFrame:
-    """One text per subject: ng, ord (the ontology node first, then by name), text. Predicates and objects are grouped and sorted."""
-    o = _term(F.col("o_kind"), F.col("o"), F.col("o_dtype"), F.col("o_lang"))
-    s = _term(F.lit("node"), F.col("s"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    p = F.when(F.col("p") == TYPE, "a").otherwise(F.concat(F.lit("<"), "p", F.lit(">")))
-    per = t.select("ng", s.alias("s"), p.alias("p"), o.alias("o")).groupBy("ng", "s", "p").agg(F.array_join(F.sort_array(F.collect_set("o")), " , ").alias("os"))
-    line = F.struct((F.col("p") != "a").alias("k"), "p", "os")
-    per = per.groupBy("ng", "s").agg(F.array_sort(F.collect_list(line)).alias("ls"))
-    text = F.concat("s", F.lit(" "), F.array_join(F.transform("ls", lambda x: F.concat(x["p"], F.lit(" "), x["os"])), " ;\n    "), F.lit(" ."))
-    own = F.when(F.col("s").isin("<>") | (F.col("s") == F.concat(F.lit("<"), "ng", F.lit(">"))), 0).otherwise(1)
-    return per.select("ng", own.alias("ord"), "s", text.alias("text"))
-
-
-def write(t: DataFrame, path: str) -> None:
-    """Turtle, a folder per graph (ng as URL-safe Base64), sorted by subject within each file."""
+    lit = F.when(lang.isNotNull(), F.concat(quoted, F.lit("@"), lang)).when(dtype.isNull() | (dtype == XSD + "string"), quoted).otherwise(F.concat(quoted, F.lit("^^"), _iri(dtype, prefixes)))
+    return F.when(kind == "lit", lit).when(o.startswith("_:"), F.concat(F.lit("_:b"), F.regexp_replace(o, "[^A-Za-z0-9]", ""))).otherwise(_iri(o, prefixes))
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """Per node: body (its predicates and objects, grouped and sorted) and members (of a list). Rows: ng, s, p, ot, member_idx."""
+    first = F.col("p") == FIRST
+    own = rows.where(~first | F.col("member_idx").isNull()).groupBy("ng", "s", F.col("pt")).agg(F.array_join(F.sort_array(F.collect_set("ot")), " , ").alias("os"))
+    own = own.groupBy("ng", "s").agg(F.array_sort(F.collect_list(F.struct((F.col("pt") != "a").alias("k"), "pt", "os"))).alias("ls"))
+    own = own.select("ng", "s", F.array_join(F.transform("ls", lambda x: F.concat(x["pt"], F.lit(" "), x["os"])), " ;\n    ").alias("body"))
+    held = rows.where(first & F.col("member_idx").isNotNull()).groupBy("ng", "s").agg(F.array_sort(F.collect_list(F.struct("member_idx", "ot"))).alias("m"))
+    held = held.select("ng", "s", F.array_join(F.transform("m", lambda x: x["ot"]), " ").alias("members"))
+    return own.join(held, ["ng", "s"], "full_outer")
+
+
+def statements(t: DataFrame, prefixes: dict[str, str] | None = None, depth: int = 4) -> DataFrame:
+    """One text per subject: ng, ord (the ontology node first, then by name), s, text. Predicates and objects are grouped and sorted.
+
+    Blank nodes that are used once, and lists (rdf:first rows with places) that have nothing else, are put where they are used, as deep
+    as ``depth`` of them stand in one another; what is deeper, or on a circle, keeps its label."""
+    prefixes = PREFIXES if prefixes is None else prefixes
+    pt = F.when(F.col("p") == TYPE, "a").otherwise(_iri(F.col("p"), prefixes)).alias("pt")
+    rows = t.select("ng", "s", "p", "o_kind", "o", pt, _term(F.col("o_kind"), F.col("o"), F.col("o_dtype"), F.col("o_lang"), prefixes).alias("ot"), "member_idx")
+    uses = t.where("o_kind <> 'lit' and o like '_:%'").groupBy(F.col("o").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("ng").alias("ng"))
+    once = checkpointed(t.where("s_kind = 'blank'").select("ng", "s").distinct().join(uses.where("n = 1").select("ng", "s"), ["ng", "s"]))
+    listed = t.where((F.col("p") == FIRST) & F.col("member_idx").isNotNull()).select("s").distinct()
+    done = once.select("ng", "s", F.lit("").alias("inner")).where(F.lit(False))
+    placed = lambda d: rows.join(d.select("ng", F.col("s").alias("o"), F.col("inner").alias("_in")), ["ng", "o"], "left").withColumn("ot", F.when((F.col("o_kind") != "lit") & F.col("_in").isNotNull(), F.col("_in")).otherwise(F.col("ot")))
+    for _ in range(depth):
+        left = once.join(done, ["ng", "s"], "left_anti")
+        waits = rows.join(left.select("ng", F.col("s").alias("o")), ["ng", "o"], "left_semi").select("ng", "s")
+        ready = left.join(waits, ["ng", "s"], "left_anti")
+        text = F.when(F.col("body").isNull(), F.concat(F.lit("( "), "members", F.lit(" )"))).otherwise(F.concat(F.lit("[ "), "body", F.lit(" ]")))
+        # a list that has more than its members can't be written in place
+        new = _bodies(placed(done).join(ready, ["ng", "s"], "left_semi")).where("body is null or members is null").select("ng", "s", text.alias("inner"))
+        new = checkpointed(new)
+        if new.isEmpty():
+            break
+        done = done.union(new)
+    every = _bodies(placed(done)).join(done.select("ng", "s"), ["ng", "s"], "left_anti").join(listed.withColumn("_l", F.lit(True)), "s", "left")
+    name = _term(F.lit("node"), F.col("s"), F.lit(None).cast("string"), F.lit(None).cast("string"), prefixes)
+    one = F.when(F.col("members").isNull(), F.col("body")).otherwise(F.concat_ws(" ;\n    ", "body", F.concat(F.lit(f"<{MEMBERS}> ( "), "members", F.lit(" )"))))
+    own = F.when(F.col("s") == F.col("ng"), 0).otherwise(1)
+    return every.select("ng", own.alias("ord"), "s", F.concat(name, F.lit(" "), one, F.lit(" .")).alias("text"))
+
+
+#: How a list that can't stand where it is used has its members: as one list.
+MEMBERS = f"{EX}members"
+
+
+def _header(prefixes: dict[str, str]) -> str:
+    return "\n".join(f"@prefix {k}: <{v}> ." for k, v in sorted(prefixes.items()))
+
+
+def write(t: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+    """Turtle, a folder per graph (ng as URL-safe Base64) with one file: prefixes, the ontology node, then all subjects by name.
+
+    One file, as blank nodes' labels hold within a file only; a task writes a graph."""
     from ..functions.scalars import base64_url
 
-    out = statements(t).withColumn("graph", base64_url(F.col("ng")))
+    prefixes = PREFIXES if prefixes is None else prefixes
+    out = statements(t, prefixes).select("ng", "ord", "s", "text")
+    head = t.select("ng").distinct().select("ng", F.lit(-1).alias("ord"), F.lit("").alias("s"), F.lit(_header(prefixes)).alias("text"))
+    out = out.unionByName(head if prefixes else head.where(F.lit(False))).withColumn("graph", base64_url(F.col("ng")))
     out.repartition("graph").sortWithinPartitions("graph", "ord", "s").select("graph", "text").write.partitionBy("graph").text(path, lineSep="\n\n")
 
 
-def write_trig(t: DataFrame, path: str) -> None:
-    """TriG: every subject's statements in a block of its graph; blocks of one graph may repeat."""
-    out = statements(t).sort("ng", "ord", "s")
-    out.select(F.concat(F.lit("<"), "ng", F.lit("> {\n"), "text", F.lit("\n}")).alias("value")).write.text(path, lineSep="\n\n")
+def write_trig(t: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+    """TriG in one file: prefixes, then a block for each graph, its subjects in order. Each line of the file is a row, so no block is held whole."""
+    prefixes = PREFIXES if prefixes is None else prefixes
+    own = statements(t, prefixes).select("ng", "ord", "s", "text")
+    g = t.select("ng").distinct()
+    opened = g.select("ng", F.lit(-1).alias("ord"), F.lit("").alias("s"), F.concat(F.lit("<"), "ng", F.lit("> {")).alias("text"))
+    closed = g.select("ng", F.lit(2).alias("ord"), F.lit("").alias("s"), F.lit("}").alias("text"))
+    head = t.sparkSession.range(1).select(F.lit("").alias("ng"), F.lit(-2).alias("ord"), F.lit("").alias("s"), F.lit(_header(prefixes)).alias("text"))
+    every = own.unionByName(opened).unionByName(closed).unionByName(head if prefixes else head.where(F.lit(False)))
+    every.coalesce(1).sortWithinPartitions("ng", "ord", "s").select("text").write.text(path, lineSep="\n")

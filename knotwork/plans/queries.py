@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_graphs, queries_patterns, queries_rules, queries_scalars, queries_sets  # noqa: F401  they register their queries
+from . import queries_formats, queries_graphs, queries_patterns, queries_repository, queries_rules, queries_scalars, queries_sets  # noqa: F401  they register their queries
 from .queries_patterns import flagship  # noqa: F401
 from .registry import QUERIES, SQL
 

@@ -9,6 +9,8 @@ from ..model import SCHEMA_NS, lower, sql, table
 from ..operators import graphs as G
 from ..operators import revisions as R
 from ..operators import search as X
+from ..operators import validate as D
+from ..operators.aggregates import framed_sql, tree_sql
 from .registry import query
 
 N = SCHEMA_NS
@@ -22,18 +24,25 @@ def imports(spark, d):
     return of("customer", "c_custkey", "c", "c_nationkey", "n").union(of("nation", "n_nationkey", "n", "n_regionkey", "r")).union(top).distinct()
 
 
-def commits(spark, d, where="true"):
-    """Orders as commits: the parent is the customer's one before; every fifth has a second, three before."""
+def _numbered(spark, d):
+    """Orders by customer and time: i counts them, p1 is the one before, p2 for every fifth the one three before."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, d, "orders").where(where)
-    o = o.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"), F.lag("o_orderkey").over(w).alias("p1"), F.lag("o_orderkey", 3).over(w).alias("p2"))
-    one = o.where("p1 is not null").select(F.col("o_orderkey").alias("a"), F.col("p1").alias("b"))
-    return one.union(o.where("i % 5 = 0 and p2 is not null").select("o_orderkey", "p2"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"), F.lag("o_orderkey").over(w).alias("p1"), F.lag("o_orderkey", 3).over(w).alias("p2"))
+    return o.withColumn("p2", F.when(F.col("i") % 5 == 0, F.col("p2")))
 
 
-#: v03 and v05 list their SQL's rows, which are those of customers 1 to 40.
-_SQL_BOUND = "o_custkey <= 40"
-_COMMITS = """o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p2 FROM orders WHERE o_custkey <= 40 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+def parents(spark, d):
+    """Orders as commits (commit, parent, idx): the first parent is the customer's order before, every fifth has a second."""
+    o = _numbered(spark, d)
+    one = o.where("p1 is not null").select(F.col("o_orderkey").alias("commit"), F.col("p1").alias("parent"), F.lit(0).alias("idx"))
+    return one.union(o.where("p2 is not null").select("o_orderkey", "p2", F.lit(1)))
+
+
+def commits(spark, d):
+    return R.all_parents(parents(spark, d))
+
+
+_COMMITS = """o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 e AS (SELECT o_orderkey AS a, p1 AS b FROM o WHERE p1 IS NOT NULL UNION SELECT o_orderkey, p2 FROM o WHERE i % 5 = 0 AND p2 IS NOT NULL)"""
 
 
@@ -43,6 +52,14 @@ def g01(spark, d):
     return G.cyclic(imports(spark, d).union(ring))
 
 
+@query("d08_acyclic", "SELECT 'n' || n_nationkey AS graph, CASE WHEN n_nationkey < 3 THEN 'ImportCycle' ELSE 'ok' END AS finding FROM nation UNION ALL SELECT 'r' || r_regionkey, 'ok' FROM region")
+def d08(spark, d):
+    ring = spark.createDataFrame([("n0", "n1"), ("n1", "n2"), ("n2", "n0")], "a string, b string")
+    found = D.acyclic(imports(spark, d).union(ring)).select("graph", "finding")
+    every = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("graph")).union(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
+    return every.join(found, "graph", "left").select("graph", F.coalesce("finding", F.lit("ok")).alias("finding"))
+
+
 @query("g02_closure", f"WITH RECURSIVE {_IMPORTS}, c AS (SELECT a, b, 1 AS depth FROM e UNION SELECT c.a, e.b, c.depth + 1 FROM c JOIN e ON c.b = e.a) SELECT a, b, CAST(min(depth) AS INT) AS depth FROM c GROUP BY a, b")
 def g02(spark, d):
     return G.closure(imports(spark, d))
@@ -54,21 +71,42 @@ def g03(spark, d):
     return G.reach(back, spark.createDataFrame([("r1",)], "node string")).select("node")
 
 
-@query("g05_common_ancestor", f"WITH RECURSIVE {_COMMITS}, l AS (SELECT max(CASE WHEN i = 6 THEN o_orderkey END) AS x, max(CASE WHEN i = 4 THEN o_orderkey END) AS y FROM o WHERE o_custkey = (SELECT min(o_custkey) FROM o WHERE i = 6)) SELECT y AS node, true AS found FROM l")
+def _two(spark, d):
+    """The tenth and the eighth order of the first customer that has ten."""
+    o = _numbered(spark, d)
+    c = o.where("i = 10").agg(F.min("o_custkey")).first()[0]
+    return tuple(o.where((F.col("o_custkey") == c) & (F.col("i") == i)).first()["o_orderkey"] for i in (10, 8))
+
+
+_TWO = "k AS (SELECT min(o_custkey) AS c FROM o WHERE i = 10), xy AS (SELECT max(CASE WHEN i = 10 THEN o_orderkey END) AS x, max(CASE WHEN i = 8 THEN o_orderkey END) AS y FROM o WHERE o_custkey = (SELECT c FROM k))"
+_UP = "SELECT {0} AS node, 0 AS depth FROM xy UNION SELECT e.b, u{0}.depth + 1 FROM u{0} JOIN {1} ON u{0}.node = e.a"
+
+
+def _ancestor_sql(edges):
+    return f"""WITH RECURSIVE {_COMMITS}, {_TWO}, ux AS ({_UP.format("x", edges)}), uy AS ({_UP.format("y", edges)}), m AS (SELECT x.node, min(x.depth) + min(y.depth) AS hops FROM ux x JOIN uy y USING (node) GROUP BY x.node)
+SELECT node, CAST(hops AS INT) AS hops FROM m ORDER BY hops, node LIMIT 1"""
+
+
+@query("g05_common_ancestor", _ancestor_sql("e"))
 def g05(spark, d):
-    e = commits(spark, d)
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"))
-    c = o.where("i = 6").agg(F.min("o_custkey")).first()[0]
-    x, y = (o.where((F.col("o_custkey") == c) & (F.col("i") == i)).first()["o_orderkey"] for i in (6, 4))
-    return G.common_ancestor(e, x, y).select("node", F.lit(True).alias("found"))
+    return G.common_ancestor(commits(spark, d), *_two(spark, d))
+
 
+@query("g05_first_parent_ancestor", _ancestor_sql("(SELECT o_orderkey AS a, p1 AS b FROM o WHERE p1 IS NOT NULL) e"))
+def g05b(spark, d):
+    return G.common_ancestor(R.first_parents(parents(spark, d)), *_two(spark, d))
 
-@query("g06_ancestry", "SELECT 'newer' AS relation")
+
+@query("g06_ancestry", f"""WITH RECURSIVE {_COMMITS}, {_TWO}, ux AS ({_UP.format("x", "e")}), uy AS ({_UP.format("y", "e")}), z AS (SELECT min(o_orderkey) AS z FROM o WHERE o_custkey <> (SELECT c FROM k)),
+r AS (SELECT y IN (SELECT node FROM ux) AS yx, x IN (SELECT node FROM uy) AS xy, z IN (SELECT node FROM ux) AS zx FROM xy, z) SELECT 'x_y' AS pair, CASE WHEN yx THEN 'newer' WHEN xy THEN 'older' ELSE 'diverged' END AS relation FROM r
+UNION ALL SELECT 'y_x', CASE WHEN yx THEN 'older' WHEN xy THEN 'newer' ELSE 'diverged' END FROM r UNION ALL SELECT 'x_z', CASE WHEN zx THEN 'newer' ELSE 'diverged' END FROM r UNION ALL SELECT 'x_x', 'same'""")
 def g06(spark, d):
-    e = commits(spark, d)
-    r = e.orderBy("a", "b").first()
-    return G.ancestry(e, r["a"], r["b"])
+    e, (x, y) = commits(spark, d), _two(spark, d)
+    o = _numbered(spark, d)
+    c = o.where(F.col("o_orderkey") == x).first()["o_custkey"]
+    z = o.where(F.col("o_custkey") != c).agg(F.min("o_orderkey")).first()[0]
+    one = lambda pair, a, b: G.ancestry(e, a, b).select(F.lit(pair).alias("pair"), "relation")
+    return one("x_y", x, y).union(one("y_x", y, x)).union(one("x_z", x, z)).union(one("x_x", x, x))
 
 
 @query("g07_history", f"WITH RECURSIVE {_COMMITS}, s AS (SELECT max(o_orderkey) AS k FROM o WHERE o_custkey = 1), c AS (SELECT k AS node, 0 AS depth FROM s UNION SELECT e.b, c.depth + 1 FROM c JOIN e ON c.node = e.a) SELECT node, CAST(min(depth) AS INT) AS depth FROM c GROUP BY node")
@@ -77,15 +115,25 @@ def g07(spark, d):
     return G.reach(commits(spark, d), tip)
 
 
-@query("g08_components", """WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS a, 's' || l_suppkey || '-' || (l_partkey % 40) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT DISTINCT a AS node, a AS r FROM u UNION SELECT u.b, c.r FROM c JOIN u ON c.node = u.a) SELECT node, min(r) AS component FROM c GROUP BY node""")
+@query("g07_history_order", f"""WITH RECURSIVE {_COMMITS}, s AS (SELECT max(o_orderkey) AS k FROM o WHERE o_custkey = 1), c AS (SELECT k AS node FROM s UNION SELECT e.b FROM c JOIN e ON c.node = e.a)
+SELECT node, row_number() OVER (ORDER BY o_orderdate DESC, node) - 1 AS row, CAST(o_orderkey % 5 = 0 AS INT) AS col FROM c JOIN orders ON o_orderkey = node""")
+def g07b(spark, d):
+    tip = table(spark, d, "orders").where("o_custkey = 1").agg(F.max("o_orderkey").alias("node"))
+    when = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderdate").alias("ts"), F.expr("cast(o_orderkey % 5 = 0 as int)").alias("lane"))
+    return G.timeline(G.reach(commits(spark, d), tip).join(when, "node"), "ts", "lane").select("node", "row", "col")
+
+
+_PARTS = """e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey || '-' || (l_partkey % 40) AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, min(c.component) FROM c JOIN u ON c.node = u.a JOIN recurring.c AS old ON old.node = u.b WHERE c.component < old.component GROUP BY u.b)"""
+
+
+@query("g08_components", f"WITH RECURSIVE {_PARTS} SELECT node, component FROM c")
 def g08(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, d, "lineitem")
     return G.components(li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("-"), (F.col("l_partkey") % 40).cast("string")).alias("b")))
 
 
-@query("a09_component_sizes", """WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS a, 's' || l_suppkey || '-' || (l_partkey % 40) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT DISTINCT a AS node, a AS r FROM u UNION SELECT u.b, c.r FROM c JOIN u ON c.node = u.a), m AS (SELECT node, min(r) AS component FROM c GROUP BY node) SELECT component, count(*) AS n FROM m GROUP BY component""")
+@query("a09_component_sizes", f"WITH RECURSIVE {_PARTS} SELECT component, count(*) AS n FROM c GROUP BY component")
 def a09(spark, d):
     return g08(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,43 +155,38 @@ def _graphs_sql(where, bump):
 
 @query("j08_commit_diff", f"WITH a AS ({_graphs_sql(_A, False)}), b AS ({_graphs_sql(_B, True)}) SELECT ng, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (ng) WHERE a.hash IS DISTINCT FROM b.hash")
 def j08(spark, d):
-    a, b = _graphs(spark, d, _A, False).withColumnRenamed("hash", "old"), _graphs(spark, d, _B, True).withColumnRenamed("hash", "new")
-    both = a.join(b, "ng", "full_outer").where("not (old <=> new)")
-    return both.select("ng", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified").alias("change"))
+    return R.graph_changes(_graphs(spark, d, _B, True), _graphs(spark, d, _A, False))
 
 
-@query("v01_dataset_hash", f"WITH a AS ({_graphs_sql(_A, False)}) SELECT sha256(string_agg(ng || '=' || hash, chr(10) ORDER BY ng || '=' || hash)) AS ds_hash FROM a")
+@query("v01_dataset_hash", f"WITH a AS ({_graphs_sql(_A, False)}), x AS (SELECT sha256({framed_sql('ng')} || {framed_sql('hash')}) AS d FROM a) {tree_sql('x', name='ds_hash')}")
 def v01(spark, d):
     return R.dataset_hash(_graphs(spark, d, _A, False))
 
 
-@query("v02_checkout", f"WITH {sql('nation', 'region')} SELECT ng, s, p, o FROM triples")
-def v02(spark, d):
-    import uuid
-
-    G.checkpointed(spark.range(1))
-    base = spark.sparkContext.getCheckpointDir()
-    r, t = R.Repository(spark, f"{base}/repo-{uuid.uuid4().hex}"), lower(spark, d, "nation", "region")
-    first = r.commit("ds", t.where("ng like '%nation'"), "me", "2020-01-01 00:00:00", "one")
-    r.commit("ds", t, "me", "2020-01-02 00:00:00", "two", parents=(first,))
-    return r.checkout_branch("ds").select("ng", "s", "p", "o")
-
-
-@query("v05_commit_details", f"WITH {_COMMITS} SELECT a AS commit, string_agg(b, ',' ORDER BY b) AS parents FROM e GROUP BY a")
-def v05(spark, d):
-    e = commits(spark, d, _SQL_BOUND).distinct().groupBy(F.col("a").alias("commit")).agg(F.sort_array(F.collect_list("b")).alias("p"))
-    return e.select("commit", F.array_join(F.col("p").cast("array<string>"), ",").alias("parents"))
+@query("a10_version_hash", f"""WITH r AS (SELECT 'ds' || c_nationkey AS ds, 'branch' AS kind, c_name AS name, c_custkey AS commit FROM customer), x AS (SELECT sha256({" || ".join(framed_sql(c) for c in ("ds", "kind", "name", "commit"))}) AS d FROM r
+UNION ALL SELECT sha256({framed_sql("o_orderkey")} || {framed_sql("'h' || o_custkey")}) FROM orders) {tree_sql("x", name="version")}""")
+def a10(spark, d):
+    refs = table(spark, d, "customer").select(F.concat(F.lit("ds"), F.col("c_nationkey").cast("string")).alias("ds"), F.lit("branch").alias("kind"), F.col("c_name").alias("name"), F.col("c_custkey").alias("commit"))
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("ds_hash"))
+    return R.version_hash(refs, own)
 
 
-@query("v03_leaves", f"WITH {_COMMITS} SELECT DISTINCT a AS commit FROM e WHERE a NOT IN (SELECT b FROM e)")
+@query("v03_leaves", f"WITH {_COMMITS} SELECT o_orderkey AS commit FROM o WHERE o_orderkey NOT IN (SELECT b FROM e) AND o_custkey % 3 <> 0")
 def v03(spark, d):
-    e = commits(spark, d, _SQL_BOUND)
-    return e.select(F.col("a").alias("commit")).distinct().join(e.select(F.col("b").alias("commit")), "commit", "left_anti")
+    p = parents(spark, d)
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), "o_custkey")
+    tips = own.where("o_custkey % 3 = 0").select("commit")  # these customers' commits have branches
+    return R.unnamed_leaves(own.select("commit"), p, tips)
 
 
-@query("v08_log", "SELECT max(event_id) + 1 AS key FROM events")
-def v08(spark, d):
-    return table(spark, d, "events").agg((F.max("event_id") + 1).alias("key"))
+@query("v05_commit_details", """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+g AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_graphs FROM orders GROUP BY o_custkey)
+SELECT o_orderkey AS commit, concat_ws(',', CAST(p1 AS VARCHAR), CASE WHEN i % 5 = 0 THEN CAST(p2 AS VARCHAR) END) AS parents, n_graphs FROM o JOIN g USING (o_custkey)""")
+def v05(spark, d):
+    o = table(spark, d, "orders")
+    own = o.select(F.col("o_orderkey").alias("commit"), F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("ds_hash"))
+    graphs = o.select(F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("ds_hash"), F.col("o_orderpriority").alias("ng"))
+    return R.commit_details(own, parents(spark, d), graphs).select("commit", "parents", "n_graphs")
 
 
 @query("x01_search_documents", f"WITH {sql('nation', 'region')} SELECT ng AS graph_uri, string_agg(DISTINCT CASE WHEN p IN ('{N}n_name', '{N}r_name') THEN o END, '|' ORDER BY CASE WHEN p IN ('{N}n_name', '{N}r_name') THEN o END) AS label, '' AS id, count(*) FILTER (o_kind = 'lit') AS literals, count(DISTINCT s) AS node_count FROM triples GROUP BY ng")
@@ -151,10 +194,13 @@ def x01(spark, d):
     return X.documents(lower(spark, d, "nation", "region"), (f"{N}n_name", f"{N}r_name"))
 
 
-@query("x03_document_type", "SELECT 'http://ex.org/nation' AS ng, '-' AS doc_type UNION ALL SELECT 'http://ex.org/region', '-'")
+@query("x03_document_type", "SELECT 'http://ex.org/nation#' || n_nationkey AS ng, 'part' AS doc_type FROM nation UNION ALL SELECT 'http://ex.org/region#' || r_regionkey, 'breakdown' FROM region UNION ALL SELECT 'all', '-' UNION ALL SELECT 'none', '-'")
 def x03(spark, d):
+    """A graph for each nation and region, one that has all nations, and one that has nothing of a known type."""
     slots = spark.createDataFrame([(f"{N}Nation", 0, "part"), (f"{N}Region", 1, "breakdown")], "cls string, slot int, doc_type string")
-    return X.document_type(lower(spark, d, "nation", "region"), slots)
+    t = lower(spark, d, "nation", "region")
+    every = t.withColumn("ng", F.col("s")).unionByName(t.where(F.col("ng").endswith("nation")).withColumn("ng", F.lit("all")))
+    return X.document_type(every.unionByName(lower(spark, d, "supplier").withColumn("ng", F.lit("none"))), slots)
 
 
 @query("x04_id_conflicts", "SELECT c_mktsegment, c_nationkey, count(DISTINCT c_custkey) AS n_graphs FROM customer GROUP BY ALL HAVING count(DISTINCT c_custkey) > 1")
@@ -188,20 +234,21 @@ def p20(spark, d):
 
 @query("p19_datasets", "SELECT DISTINCT source AS ds FROM documents")
 def p19(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("ds")).distinct()
+    refs = table(spark, d, "documents").select(F.col("source").alias("ds"), F.lit("branch").alias("kind"), F.col("lang").alias("name"), F.col("doc_id").cast("string").alias("commit"))
+    return R.datasets(refs.union(spark.sql("select '', '', '', ''")))
 
 
-@query("x10_id_values", f"WITH {sql('part')} SELECT p, count(DISTINCT o) AS n_values FROM triples WHERE o_kind = 'lit' GROUP BY p")
+@query("x10_id_values", f"WITH {sql('part')}, v AS (SELECT DISTINCT CAST(CAST(split_part(s, '#', 2) AS INT) % 7 AS VARCHAR) AS ng, p, o FROM triples WHERE p IN ('{N}p_brand', '{N}p_type')) SELECT ng, p, string_agg(o, '|' ORDER BY o) AS vals, count(*) AS n FROM v GROUP BY ng, p")
 def x10(spark, d):
-    t = lower(spark, d, "part").where("o_kind = 'lit'")
-    return t.groupBy("p").agg(F.count_distinct("o").alias("n_values"))
+    t = lower(spark, d, "part", predicates=(f"{N}p_brand", f"{N}p_type")).withColumn("ng", (F.substring_index("s", "#", -1).cast("int") % 7).cast("string"))
+    return X.id_values(t, (f"{N}p_brand", f"{N}p_type")).select("ng", "p", F.array_join("vals", "|").alias("vals"), F.size("vals").cast("bigint").alias("n"))
 
 
-@query("x05_incremental", "SELECT source AS graph_uri, count(*) AS docs FROM documents GROUP BY source")
+@query("x05_incremental", f"WITH {sql('customer')}, t AS (SELECT 'g' || (CAST(split_part(s, '#', 2) AS INT) % 10) AS g, * FROM triples) SELECT g AS graph_uri, string_agg(DISTINCT CASE WHEN p = '{N}c_mktsegment' THEN o END, '|' ORDER BY CASE WHEN p = '{N}c_mktsegment' THEN o END) AS label, count(*) FILTER (o_kind = 'lit') AS literals, count(DISTINCT s) AS node_count FROM t GROUP BY g")
 def x05(spark, d):
     """Only changed graphs are derived anew; the others' documents stay."""
-    docs = table(spark, d, "documents")
-    derive = lambda t: t.groupBy(F.col("source").alias("graph_uri")).agg(F.count(F.lit(1)).alias("docs"))
-    changed = docs.where("doc_id % 10 = 0").select(F.col("source").alias("graph_uri")).distinct()
-    old = derive(docs.where("doc_id % 10 <> 0")).join(changed, "graph_uri", "left_anti")
-    return old.union(derive(docs.join(changed.withColumnRenamed("graph_uri", "source"), "source", "left_semi")))
+    t = lower(spark, d, "customer").withColumn("ng", F.concat(F.lit("g"), (F.substring_index("s", "#", -1).cast("int") % 10).cast("string")))
+    labels = (f"{N}c_mktsegment",)
+    old = X.documents(t.where(~F.col("ng").isin("g3", "g7")).unionByName(t.where((F.col("ng") == "g3") & (F.col("o_kind") == "lit"))), labels)
+    changed = spark.createDataFrame([("g3",), ("g7",)], "ng string")
+    return X.refreshed(old, t, changed, labels).select("graph_uri", "label", "literals", "node_count")

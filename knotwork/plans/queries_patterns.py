@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..model import EX, SCHEMA_NS, TYPE, lower, sql, table
 from ..operators import aggregates as A
+from ..operators import order as O
 from ..operators import patterns as P
+from ..operators.aggregates import framed_sql, tree_sql
 from .registry import query
 
 NODE = f"{EX}nation#3"
@@ -24,14 +26,14 @@ def p01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p02_objects", f"WITH {sql('customer')} SELECT o_kind, o FROM triples WHERE s = '{EX}customer#7' AND p = '{N}c_nationkey'")
 def p02(spark, d):
-    return P.objects(lower(spark, d, "customer"), f"{EX}customer#7", f"{N}c_nationkey").select("o_kind", "o")
+    return P.objects(lower(spark, d, "customer", predicates=(f"{N}c_nationkey",)), f"{EX}customer#7", f"{N}c_nationkey").select("o_kind", "o")
 
 
 @query("p03_has_triples", f"""WITH {sql("nation")}, wanted AS (SELECT '{EX}nation#' || n_nationkey AS s, '{N}n_regionkey' AS p, '{EX}region#1' AS o FROM nation)
 SELECT s, p, o, EXISTS (SELECT 1 FROM triples t WHERE t.s = w.s AND t.p = w.p AND t.o = w.o) AS held FROM wanted w""")
 def p03(spark, d):
     wanted = table(spark, d, "nation").select(F.concat(F.lit(f"{EX}nation#"), F.col("n_nationkey").cast("string")).alias("s"), F.lit(f"{N}n_regionkey").alias("p"), F.lit(f"{EX}region#1").alias("o"))
-    return P.has_triples(lower(spark, d, "nation"), wanted)
+    return P.has_triples(lower(spark, d, "nation", predicates=(f"{N}n_regionkey",)), wanted)
 
 
 @query("p04_positions", f"""WITH {sql("customer")} SELECT s, p, o, row_number() OVER (PARTITION BY ng, s
@@ -102,7 +104,7 @@ def p11(spark, d):
 
 @query("p12_is_element", f"WITH {sql(*SMALL)} SELECT o, count(*) AS n, bool_or(o = '{N}Nation') AS is_nation FROM triples WHERE p = '{TYPE}' GROUP BY o")
 def p12(spark, d):
-    t = P.match(lower(spark, d, *SMALL), p=TYPE)
+    t = P.match(lower(spark, d, *SMALL, predicates=(TYPE,)), p=TYPE)
     return t.groupBy("o").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("o") == f"{N}Nation").alias("is_nation"))
 
 
@@ -130,7 +132,7 @@ def p18(spark, d):
 @query("p21_belongs", f"WITH {sql('nation')} SELECT '{EX}nation#' || c_nationkey AS node, c_custkey FROM customer WHERE '{EX}nation#' || c_nationkey IN (SELECT s FROM triples WHERE p = '{N}n_name' AND o LIKE '%1%')")
 def p21(spark, d):
     wanted = table(spark, d, "customer").select(F.concat(F.lit(f"{EX}nation#"), F.col("c_nationkey").cast("string")).alias("node"), "c_custkey")
-    return P.belongs(wanted, P.match(lower(spark, d, "nation"), p=f"{N}n_name").where("o like '%1%'"))
+    return P.belongs(wanted, P.match(lower(spark, d, "nation", predicates=(f"{N}n_name",)), p=f"{N}n_name").where("o like '%1%'"))
 
 
 @query("p22_by_value", f"""WITH {sql("customer")} SELECT 'segment' AS how, s AS node FROM triples WHERE p = '{N}c_mktsegment' AND o = 'BUILDING'
@@ -145,22 +147,23 @@ def p22(spark, d):
 @query("j01_multi_hop", "SELECT r_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Orders per region, over customer, nation and region nodes: small hops are joined first, the orders' last."""
-    t = lower(spark, d, "customer", "nation", "region")
-    home = P.path(t, P.of_type(t, f"{N}Customer").select("node"), f"{N}c_nationkey", f"{N}n_regionkey", f"{N}r_name").select("node", F.col("end").alias("r_name"))
-    placed = P.match(lower(spark, d, "orders"), p=f"{N}o_custkey").groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    t = lower(spark, d, "customer", "nation", "region", predicates=(f"{N}c_nationkey", f"{N}n_regionkey", f"{N}r_name"))
+    start = P.of_type(lower(spark, d, "customer", predicates=(TYPE,)), f"{N}Customer").select("node")
+    home = P.path(t, start, f"{N}c_nationkey", f"{N}n_regionkey", f"{N}r_name").select("node", F.col("end").alias("r_name"))
+    placed = P.match(lower(spark, d, "orders", predicates=(f"{N}o_custkey",)), p=f"{N}o_custkey").groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     return placed.join(home, "node").groupBy("r_name").agg(F.sum("n").alias("orders"))
 
 
 @query("j02_lookup_or_create", f"WITH {sql('nation')}, w AS (SELECT DISTINCT c_nationkey + 10 AS k FROM customer) SELECT '{EX}nation#' || k AS node, coalesce(o, 'new') AS name FROM w LEFT JOIN (SELECT s, o FROM triples WHERE p = '{N}n_name') ON s = '{EX}nation#' || k")
 def j02(spark, d):
     wanted = table(spark, d, "customer").select(F.concat(F.lit(f"{EX}nation#"), (F.col("c_nationkey") + 10).cast("string")).alias("s")).distinct()
-    names = P.match(lower(spark, d, "nation"), p=f"{N}n_name").select("s", "o")
+    names = P.match(lower(spark, d, "nation", predicates=(f"{N}n_name",)), p=f"{N}n_name").select("s", "o")
     return wanted.join(names, "s", "left").select(F.col("s").alias("node"), F.coalesce("o", F.lit("new")).alias("name"))
 
 
 @query("j04_owner_values", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def j04(spark, d):
-    t = lower(spark, d, "customer", "nation", "region")
+    t = lower(spark, d, "customer", "nation", "region", predicates=tuple(N + p for p in ("c_nationkey", "n_name", "n_regionkey", "r_name")))
     of = lambda p, a, b: P.match(t, p=f"{N}{p}").select(F.col("s").alias(a), F.col("o").alias(b))
     out = of("c_nationkey", "c", "n").join(of("n_name", "n", "n_name"), "n", "left").join(of("n_regionkey", "n", "r"), "n", "left").join(of("r_name", "r", "r_name"), "r", "left")
     return out.select(F.substring_index("c", "#", -1).cast("bigint").alias("c_custkey"), "n_name", "r_name")
@@ -168,15 +171,16 @@ def j04(spark, d):
 
 @query("j05_exclude_parts", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j05(spark, d):
-    t = lower(spark, d, "orders")
+    t = lower(spark, d, "orders", predicates=(f"{N}o_orderstatus", f"{N}o_custkey"))
     done = P.match(t, p=f"{N}o_orderstatus", o="F").select("s").join(P.match(t, p=f"{N}o_custkey").select("s", "o"), "s").select(F.col("o").alias("node"))
-    c = P.of_type(lower(spark, d, "customer"), f"{N}Customer").select("node").distinct()
+    c = P.of_type(lower(spark, d, "customer", predicates=(TYPE,)), f"{N}Customer").select("node").distinct()
     return c.join(done, "node", "left_anti").select(F.substring_index("node", "#", -1).cast("bigint").alias("c_custkey"))
 
 
 @query("j09_star", "SELECT '" + EX + "part#' || p_partkey AS s, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part")
 def j09(spark, d):
-    return P.star(lower(spark, d, "part"), f"{N}p_name", f"{N}p_brand", f"{N}p_size")
+    own = (f"{N}p_name", f"{N}p_brand", f"{N}p_size")
+    return P.star(lower(spark, d, "part", predicates=own), *own)
 
 
 @query("a01_graph_info", f"""WITH {sql("customer", "nation", "region", "supplier")} SELECT ng, count(DISTINCT s) AS iri_subjects, CAST(0 AS BIGINT) AS blank_subjects, count(DISTINCT p) AS predicates, count(*) AS triples,
@@ -202,9 +206,22 @@ def a05(spark, d):
     return A.predicate_usage(lower(spark, d, "orders", "customer"))
 
 
+@query("a05_own_predicates", f"WITH {sql('orders', 'customer')} SELECT p, count(DISTINCT s) AS subjects, count(*) AS uses FROM triples WHERE p LIKE '{N}%' GROUP BY p")
+def a05b(spark, d):
+    return A.predicate_usage(lower(spark, d, "orders", "customer"), N.rstrip("#"))
+
+
+@query("a01_import_counts", "SELECT 'http://ex.org/n' || n_nationkey AS ng, CAST(1 AS BIGINT) AS direct_imports, CAST(2 AS BIGINT) AS all_imports, c.n AS imported_by FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) c ON c_nationkey = n_nationkey")
+def a01b(spark, d):
+    from .queries_graphs import imports
+
+    e = imports(spark, d)
+    return A.import_counts(e).where("graph like 'n%'").select(F.concat(F.lit(EX), "graph").alias("ng"), "direct_imports", "all_imports", "imported_by")
+
+
 @query("a06_values", "SELECT '" + EX + "customer' AS ng, string_agg(v, '|' ORDER BY v) AS vals FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)")
 def a06(spark, d):
-    return A.values_of(lower(spark, d, "customer"), f"{N}c_mktsegment")
+    return A.values_of(lower(spark, d, "customer", predicates=(f"{N}c_mktsegment",)), f"{N}c_mktsegment")
 
 
 @query("a07_facet", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
@@ -212,21 +229,24 @@ def a07(spark, d):
     return A.facet(table(spark, d, "documents"), "source", 5)
 
 
-@query("a10_version_hash", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS version FROM (SELECT sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus) AS h FROM orders)")
-def a10(spark, d):
-    h = table(spark, d, "orders").select(F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").cast("binary"), 256).alias("h"))
-    return h.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("version"))
+_LINE = " || ".join([*map(framed_sql, ("s", "p", "o_kind", "o", "o_dtype")), "'-'", "'-'", "'-'"])
 
 
-@query("s09_graph_hash", f"""WITH {sql("customer", "nation", "region")}, d AS (SELECT DISTINCT ng, sha256(concat_ws(chr(9), s, p, o_kind, coalesce(o_dtype, ''), o)) AS d FROM triples),
-b AS (SELECT ng, d[1:2] AS bucket, sha256(string_agg(d, '' ORDER BY d)) AS h FROM d GROUP BY ALL) SELECT ng, sha256(string_agg(h, '' ORDER BY bucket)) AS hash FROM b GROUP BY ng""")
+@query("s09_graph_hash", f"WITH {sql('customer', 'nation', 'region')}, x AS (SELECT DISTINCT ng, sha256({_LINE}) AS d FROM triples) {tree_sql('x', 'ng')}")
 def s09(spark, d):
     return A.graph_hash(lower(spark, d, "customer", "nation", "region"))
 
 
+@query("s09_list_hash", f"""WITH l AS (SELECT l_orderkey % 100 AS ng, '_:l' || l_orderkey AS s, 'http://ex.org/part#' || l_partkey AS o, l_linenumber AS i FROM lineitem),
+x AS (SELECT DISTINCT CAST(ng AS VARCHAR) AS ng, sha256({framed_sql("s")} || {framed_sql("'http://www.w3.org/1999/02/22-rdf-syntax-ns#first'")} || {framed_sql("'node'")} || {framed_sql("o")} || '---' || {framed_sql("i")}) AS d FROM l) {tree_sql("x", "ng")}""")
+def s09b(spark, d):
+    """Graphs of lists: equal members in other places give another hash."""
+    return A.graph_hash(lists(spark, d).withColumn("ng", (F.substring("s", 4, 20).cast("bigint") % 100).cast("string")))
+
+
 @query("s13_header_only", "SELECT 'http://ex.org/nation#' || n_nationkey AS importer, 'http://ex.org/region#' || n_regionkey AS imported FROM nation")
 def s13(spark, d):
-    return P.match(lower(spark, d, "nation"), p=f"{N}n_regionkey").select(F.col("s").alias("importer"), F.col("o").alias("imported"))
+    return P.match(lower(spark, d, "nation", predicates=(f"{N}n_regionkey",)), p=f"{N}n_regionkey").select(F.col("s").alias("importer"), F.col("o").alias("imported"))
 
 
 @query("s17_blobs", "SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS puts, strlen(min(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -237,17 +257,40 @@ def s17(spark, d):
 
 @query("l01_canonical_order", f"""WITH {sql("customer")} SELECT s, string_agg(o, '|' ORDER BY CASE o_kind WHEN 'node' THEN 0 ELSE 1 END, p, o) AS os FROM triples GROUP BY s""")
 def l01(spark, d):
-    t = lower(spark, d, "customer")
-    rank = F.when(F.col("o_kind") == "node", 0).otherwise(1)
-    return t.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "p", "o"))), lambda x: x["o"]), "|").alias("os"))
+    return P.rendered(lower(spark, d, "customer")).select("s", "os")
+
+
+@query("l01_member_order", "SELECT '_:l' || l_orderkey AS s, string_agg('http://ex.org/part#' || l_partkey, '|' ORDER BY l_linenumber, 'http://ex.org/part#' || l_partkey) AS os FROM lineitem GROUP BY 1")
+def l01b(spark, d):
+    return P.rendered(lists(spark, d)).select("s", "os")
 
 
-@query("l03_literal_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS by_value FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
+@query("l02_node_order", f"WITH {sql(*SMALL)}, n AS (SELECT DISTINCT p AS node FROM triples UNION SELECT s FROM triples) SELECT node, row_number() OVER (ORDER BY node <> '{TYPE}', split_part(node, '#', 1), split_part(node, '#', 2)) - 1 AS rank FROM n")
+def l02(spark, d):
+    t = lower(spark, d, *SMALL)
+    every = t.select(F.col("p").alias("node")).union(t.select("s")).distinct()
+    return O.ranked(every, O.node_key(F.col("node")))
+
+
+@query("l03_literal_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS by_value FROM orders")
 def l03(spark, d):
-    o = table(spark, d, "orders").orderBy("o_totalprice", "o_orderkey").limit(100)
-    from pyspark.sql.window import Window
+    return O.ranked(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")], "by_value").select("o_orderkey", "by_value")
+
+
+@query("l03_canonical_literals", f"WITH {sql('part')}, l AS (SELECT DISTINCT o, o_dtype FROM triples WHERE o_kind = 'lit') SELECT o, o_dtype, row_number() OVER (ORDER BY o_dtype, CASE WHEN o_dtype LIKE '%integer' THEN lpad(printf('%X', CAST(o AS BIGINT)), 16, '0') END, hex(encode(o))) - 1 AS rank FROM l")
+def l03b(spark, d):
+    t = lower(spark, d, "part").where("o_kind = 'lit'").select("o", "o_dtype").distinct()
+    return O.ranked(t, O.literal_key(F.col("o"), F.col("o_dtype")))
+
 
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).cast("bigint").alias("by_value"))
+@query("l04_file_order", "SELECT 'http://ex.org/customer#' || c_custkey AS node, false AS is_blank, 0 AS uses, row_number() OVER (ORDER BY 'http://ex.org/customer#' || c_custkey) - 1 AS rank FROM (SELECT DISTINCT o_custkey AS c_custkey FROM orders) UNION ALL SELECT '_:o' || o_orderkey, true, 1, (SELECT count(DISTINCT o_custkey) FROM orders) + row_number() OVER (ORDER BY '_:o' || o_orderkey) - 1 FROM orders")
+def l04(spark, d):
+    return O.file_order(_blanks(spark, d))
+
+
+@query("l05_sorted_nodes", f"WITH {sql('customer')} SELECT s AS node, row_number() OVER (ORDER BY split_part(s, '#', 2)) - 1 AS rank FROM (SELECT DISTINCT s FROM triples)")
+def l05(spark, d):
+    return O.sorted_nodes(lower(spark, d, "customer", "nation", predicates=(TYPE,)), f"{EX}customer")
 
 
 @query("l06_log_page", "SELECT event_id AS key FROM events WHERE event_id <= 500 AND event_id > 450 ORDER BY event_id DESC")
@@ -270,12 +313,17 @@ def l09(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.natural_key(c).alias("k"))
 
 
-@query("l10_priority", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey LIMIT 50")
+@query("l08_id_groups", "WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT 'P' || l_partkey)) AS ids FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, row_number() OVER (ORDER BY CASE WHEN len(ids) = 1 THEN 0 ELSE 1 END, array_to_string(ids, chr(1)), l_orderkey) - 1 AS rank FROM g")
+def l08(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("ids"))
+    return O.ranked(g, [*O.id_groups(g, "ids"), F.col("l_orderkey")]).select("l_orderkey", "rank")
+
+
+@query("l10_priority", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) - 1 AS rank FROM orders")
 def l10(spark, d):
-    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return table(spark, d, "orders").orderBy(rank, "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority")
+    return O.ranked(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), [O.priority(F.col("o_orderstatus"), "P", "O"), F.col("o_orderkey")]).select("o_orderkey", "rank")
 
 
-@query("l11_sorted_distinct", f"WITH {sql('customer')} SELECT DISTINCT s, p FROM triples")
+@query("l11_sorted_distinct", f"WITH {sql('customer')}, x AS (SELECT DISTINCT s, p FROM triples) SELECT s, p, row_number() OVER (ORDER BY s, p) - 1 AS rank FROM x")
 def l11(spark, d):
-    return lower(spark, d, "customer").select("s", "p").distinct().sortWithinPartitions("s", "p")
+    return O.ranked(lower(spark, d, "customer").select("s", "p").distinct(), [F.col("s"), F.col("p")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import EX, SCHEMA_NS, lower_frame, sql, table
+from ..model import EX, NIL, RDF, SCHEMA_NS, lower_frame, sql, table
 from ..operators import lists as L
 from ..operators import mutations as M
 from ..operators import setops as U
@@ -66,6 +66,53 @@ def u07(spark, d):
     return U.duplicates(t).select("s", "o", "n")
 
 
+_TAGGED = "a AS (SELECT doc_id, CAST(md5(text) AS VARCHAR) AS o, lang FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, o, CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS lang FROM a)"
+
+
+def _tagged(spark, d):
+    """Texts as language-tagged literals; in revision B every fourth has another language and nothing else changes."""
+    t = table(spark, d, "documents").where("text is not null")
+    a = t.select(F.lit(f"{EX}texts").alias("ng"), F.lit("iri").alias("s_kind"), F.concat(F.lit(f"{EX}doc#"), F.col("doc_id").cast("string")).alias("s"), F.lit(f"{N}text").alias("p"), F.lit("lit").alias("o_kind"), F.md5("text").alias("o"), F.lit(f"{RDF}langString").alias("o_dtype"), F.col("lang").alias("o_lang"))
+    return a, a.withColumn("o_lang", F.when(F.substring_index("s", "#", -1).cast("bigint") % 4 == 0, "xx").otherwise(F.col("o_lang")))
+
+
+@query("u04_diff_languages", f"WITH {_TAGGED} SELECT flag, doc_id, lang FROM (SELECT -1 AS flag, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 1, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
+def u04b(spark, d):
+    return U.diff(*_tagged(spark, d)).select("flag", F.substring_index("s", "#", -1).cast("bigint").alias("doc_id"), F.col("o_lang").alias("lang"))
+
+
+_LISTED = "a AS (SELECT l_orderkey AS k, l_partkey AS o, l_linenumber AS i FROM lineitem), b AS (SELECT k, o, CASE WHEN k % 3 = 0 THEN 100 - i ELSE i END AS i FROM a)"
+
+
+def _listed(spark, d):
+    """Lists of parts; in revision B those of every third order run the other way."""
+    a = lists(spark, d)
+    return a, a.withColumn("member_idx", F.when(F.substring("s", 4, 20).cast("bigint") % 3 == 0, 100 - F.col("member_idx")).otherwise(F.col("member_idx")))
+
+
+@query("u04_diff_lists", f"WITH {_LISTED} SELECT flag, k, o, i FROM (SELECT -1 AS flag, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 1, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
+def u04c(spark, d):
+    out = U.diff(*_listed(spark, d))
+    return out.select("flag", F.substring("s", 4, 20).cast("bigint").alias("k"), F.substring_index("o", "#", -1).cast("bigint").alias("o"), F.col("member_idx").alias("i"))
+
+
+@query("s14_patch_lists", f"WITH {_LISTED} SELECT DISTINCT k, o, i FROM b")
+def s14b(spark, d):
+    a, b = _listed(spark, d)
+    return U.patch(a.distinct(), U.diff(a, b)).select(F.substring("s", 4, 20).cast("bigint").alias("k"), F.substring_index("o", "#", -1).cast("bigint").alias("o"), F.col("member_idx").alias("i"))
+
+
+@query("u01_union_lists", f"WITH {_LISTED} SELECT k, o, i FROM a UNION SELECT k, o, i FROM b")
+def u01b(spark, d):
+    return U.union(*_listed(spark, d)).select(F.substring("s", 4, 20).cast("bigint").alias("k"), F.substring_index("o", "#", -1).cast("bigint").alias("o"), F.col("member_idx").alias("i"))
+
+
+@query("u03_equal_lists", "SELECT l_orderkey % 5 AS g, bool_and(l_orderkey % 3 <> 0 OR 100 - l_linenumber = l_linenumber) AS equal FROM lineitem GROUP BY 1")
+def u03b(spark, d):
+    a, b = (t.withColumn("ng", (F.substring("s", 4, 20).cast("bigint") % 5).cast("string")) for t in _listed(spark, d))
+    return U.equal(a, b).select(F.col("ng").cast("bigint").alias("g"), "equal")
+
+
 @query("u08_missing", "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang <> 'en' AND text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
 def u08(spark, d):
     t = table(spark, d, "documents").select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
@@ -187,7 +234,7 @@ def chains(spark, d):
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     i = F.row_number().over(w)
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", i.alias("i"), "l_partkey", F.when(F.lead("l_partkey").over(w).isNotNull(), i + 1).alias("next"))
+    li = table(spark, d, "lineitem").select("l_orderkey", i.alias("i"), "l_partkey", F.when(F.lead("l_partkey").over(w).isNotNull(), i + 1).alias("next"))
     cell = lambda n: F.concat(F.lit("_:l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col(n).cast("string"))
     rows = F.array(
         F.struct(F.lit(FIRST).alias("p"), F.lit("lit").alias("o_kind"), F.col("l_partkey").cast("string").alias("o"), F.lit("http://www.w3.org/2001/XMLSchema#integer").alias("o_dtype")),
@@ -197,17 +244,27 @@ def chains(spark, d):
 
 
 @query("c06_collapse", """SELECT '_:l' || l_orderkey || '-1' AS node, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS member_idx,
-CAST(l_partkey AS VARCHAR) AS o FROM lineitem WHERE l_orderkey < 2000""")
+CAST(l_partkey AS VARCHAR) AS o FROM lineitem""")
 def c06(spark, d):
     return L.collapse(chains(spark, d)).select("node", "member_idx", "o")
 
 
-@query("c06_homogeneous", "SELECT '_:l' || l_orderkey || '-1' AS node, 'litcoll' AS kind, count(*) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey")
+@query("c06_endless", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey")
+def c06c(spark, d):
+    """Every tenth order's chain ends in its own first cell: none of it is a list."""
+    t = chains(spark, d)
+    k = F.regexp_extract("s", "l([0-9]+)-", 1).cast("bigint")
+    ring = t.withColumn("o", F.when((F.col("o") == NIL) & (k % 10 == 0), F.regexp_replace("s", "-[0-9]+$", "-1")).otherwise(F.col("o")))
+    found = L.endless(ring).select(F.regexp_extract("cell", "l([0-9]+)-", 1).cast("bigint").alias("l_orderkey"))
+    return found.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c06_homogeneous", "SELECT '_:l' || l_orderkey || '-1' AS node, 'litcoll' AS kind, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def c06b(spark, d):
     return L.homogeneous(L.collapse(chains(spark, d))).select("node", "kind", "n")
 
 
-@query("c07_inline", "SELECT '_:l' || l_orderkey || '-' || i AS node FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem WHERE l_orderkey < 2000) WHERE i > 1")
+@query("c07_inline", "SELECT '_:l' || l_orderkey || '-' || i AS node FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem) WHERE i > 1")
 def c07(spark, d):
     return L.inline_nodes(chains(spark, d))
 

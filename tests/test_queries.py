@@ -33,7 +33,7 @@ def test_history_of_all_customers(spark):
     orders = spark.read.parquet(f"{DATA}/orders.parquet")
     n = orders.groupBy("o_custkey").count().where("count > 1").selectExpr("sum(count - 1)").first()[0]
     got = commits(spark, DATA)
-    assert got.select("a").distinct().count() == n > commits(spark, DATA, "o_custkey <= 40").select("a").distinct().count()
+    assert got.select("a").distinct().count() == n > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")

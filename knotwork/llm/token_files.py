@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,18 +38,15 @@ LENGTH, BATCH_ROWS, FILE_BYTES = 2048, 64, 48 << 20
 
 #: Marks after a word that the tokenizer takes for a token run of their own; Latin letters; words remembered without them.
 _MARKS = (".", ",", ";", ":", "!", "?", "!!", "...")
-_LATIN = "\u0250"
-_ROOM, CHECKED = 150_000, 64
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
+_WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]|!!|\\.\\.\\.)?").fullmatch
+_ROOM, CHECKED, JOINED = 250_000, 64, 1000
 
 
-def _cut(word: str) -> tuple[str, str]:
-    """A word as its letters in lower case and the mark after them, where the tokenizer is sure to part them so; else the word itself."""
-    core = word.rstrip(".,;:!?")
-    mark = word[len(core) :]
-    low = core.lower()
-    if core and (not mark or mark in _MARKS) and max(word) < _LATIN and core.isalpha() and low.isalpha():
-        return low, mark
-    return word, ""
+def _cut(word: str) -> tuple[str, str, bool]:
+    """A word as its Latin letters in lower case and the mark after them, where the tokenizer is sure to part them so; else the word itself."""
+    m = _WORD(word)
+    return (m[1].lower(), m[2] or "", True) if m else (word, "", False)
 
 
 def word_encoder(path: str) -> tuple[WordMemo, str]:
@@ -66,9 +64,27 @@ def word_encoder(path: str) -> tuple[WordMemo, str]:
         whole = lambda words: [array(code, e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
         marks = {m: ids for m, ids in zip(_MARKS, whole(list(_MARKS)), strict=True)}
         cores: dict[str, bytes] = {}
+        # a token with this suffix ends a word: many words of letters go through the tokenizer as one text
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        last = np.zeros(t.get_vocab_size(), bool)
+        last[[i for w, i in t.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+
+        def letters(words: list[str]) -> list[bytes]:
+            out: list[bytes] = []
+            for i in range(0, len(words), JOINED):
+                some = words[i : i + JOINED]
+                ids = np.array(t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, code)
+                ends = (np.flatnonzero(last[ids]) + 1) * ids.itemsize
+                if len(ends) == len(some):
+                    flat, at = ids.tobytes(), [0, *ends.tolist()]
+                    out += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+                else:
+                    out += whole(some)
+            return out
+
         # a vocabulary that doesn't part letters from marks, or keeps case, is asked for whole words
         probes = [w for c in ("word", "Word", "WORD", "\u00c9t\u00e9", "x") for w in (c, *(c + m for m in _MARKS))]
-        composed = [low + marks[m] if m else low for (c, m), low in zip(map(_cut, probes), whole([_cut(w)[0] for w in probes]), strict=True)]
+        composed = [low + marks[m] if m else low for (_, m, _), low in zip(map(_cut, probes), whole([_cut(w)[0] for w in probes]), strict=True)]
         parts = composed == whole(probes)
 
         def encode(words: list[bytes]) -> list[bytes]:
@@ -78,15 +94,16 @@ def word_encoder(path: str) -> tuple[WordMemo, str]:
             if len(cores) > _ROOM:
                 cores.clear()
             cut = [_cut(x) for x in texts]
-            fresh = [c for c in dict.fromkeys(c for c, _ in cut) if c not in cores]
-            cores.update(zip(fresh, whole(fresh), strict=True))
-            out = [cores[c] + marks[m] if m else cores[c] for c, m in cut]
+            for sure, ids_of in ((True, letters), (False, whole)):
+                fresh = list({c for c, _, s in cut if s is sure and c not in cores})
+                cores.update(zip(fresh, ids_of(fresh), strict=True))
+            out = [cores[c] + marks[m] if m else cores[c] for c, m, _ in cut]
             # every so many words, the tokenizer itself says whether that was right
             if out[::CHECKED] != whole(texts[::CHECKED]):
                 raise RuntimeError(f"{path} doesn't encode words by their letters and marks")
             return out
 
-        return WordMemo(encode, bytes.split, 250_000), code
+        return WordMemo(encode, bytes.split, 400_000), code
 
     return held("token_files", path, make)
 

@@ -147,7 +147,7 @@ class Backend:
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         # other models change more of a text than its parts show: for these, whole texts are compared
         self.by_part = bool(self.reference and m.dummy_prefix and not m.squeeze and not m.charsmap)
-        self.memo = WordMemo(self._encode, self.split, 80_000)
+        self.memo = WordMemo(self._encode, self.split, 200_000)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b"" if t == CONTROL else b" \xe2\x81\x87 " for p, _, t in m.pieces]
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:

@@ -9,8 +9,13 @@ compared with the query in double precision.
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with the greatest norm M, zero
 for queries; so nearest centroids are those of the largest inner products, whatever the norms.
 
-Scale: the sample is at most ``SAMPLE`` rows and ``SAMPLE_NUMBERS`` numbers, centroids at most
-``SAMPLE / 16``: what is broadcast doesn't grow with the input. Long lists are dealt out in parts of
+Lists that are longer than twice ``LEAF`` are split into at most ``FAN`` lists each, by centroids of their own that a task
+fits to a bounded sample of the list; queries follow, with a ratio tuned on that sample. That goes on, level by level, until
+no list is too long or its vectors are all equal; so lists grow in number with the input, not in length.
+
+Scale: the sample is at most ``SAMPLE`` rows and ``SAMPLE_NUMBERS`` numbers, centroids of the first level at most
+``SAMPLE / 16``: what is broadcast doesn't grow with the input. Rows and queries are dealt by ranges of lists when those are
+split, so a task reads the centroids of few lists from the shared folder. Long lists are dealt out in parts of
 ``PART`` vectors and ``ASK`` queries, so a vector that a third of the rows repeat makes many tasks, not a
 long one. Each part returns at most k rows per query, and none that score below the query's k-th best
 row of the sample in its lists: those can't be among the k nearest found.
@@ -27,18 +32,19 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import Workspace
+from .common import Workspace, open_fs
+from .worker import guarded, held
 
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000
 COPIES, BOUNDARY, AIM = 4, 1.1, 0.985
 PART, ASK = 4096, 4096
+LEAF, FAN, PER, LEVELS = 4096, 64, 32, 6
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -113,10 +119,10 @@ class Centroids:
         return [i for k, (d, i) in enumerate(found) if k < least or d <= best * ratio]
 
 
-def _lists_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The lists of each vector, nearest first; -1 where it has fewer than ``COPIES``."""
+def _lists_of(x: np.ndarray, c: np.ndarray, copies: int = COPIES) -> np.ndarray:
+    """The lists of each vector, nearest first; -1 where it has fewer than ``copies``."""
     d = _sq(x, c)
-    k = min(COPIES, len(c))
+    k = min(copies, len(c))
     near = np.argpartition(d, k - 1, 1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
     own = np.take_along_axis(d, near, 1)
     order = np.argsort(own, 1, kind="stable")
@@ -192,7 +198,93 @@ def best(q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, x:
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataFrame:
+def _widen(z: np.ndarray, m2: float) -> np.ndarray:
+    """Rows with the coordinate that makes inner products distances."""
+    return np.concatenate([z, np.sqrt(np.maximum(m2 - (z * z).sum(1, keepdims=True), 0))], 1)
+
+
+def _centroids_of(folder: str, which: int) -> tuple[np.ndarray, float] | None:
+    """The centroids and ratio that a list was split by, from the shared folder; None where it wasn't."""
+    import pyarrow.dataset as ds
+
+    def make():
+        fs, at = open_fs(folder)
+        t = ds.dataset(at, filesystem=fs, format="parquet").to_table(filter=ds.field("list") == which)
+        return (_matrix(t.column("centroid").combine_chunks()), t.column("ratio")[0].as_py()) if len(t) else None
+
+    return held("posting_lists", (folder, which), make)
+
+
+def _by_list(parts: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple]:
+    """Runs of rows of one list, with what it was split by."""
+    for p in guarded("posting_lists", parts):
+        lists = p.column("list").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(p)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield p.slice(a, b - a), int(lists[a]), _centroids_of(folder, int(lists[a]))
+
+
+def refined(posted: DataFrame, asked: DataFrame, m2: float, k: int, ws: Workspace, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """``posted`` and ``asked`` with lists of over 2 * ``leaf`` rows split, level by level."""
+    dealt = lambda t: t.repartitionByRange("list", "vec_id").sortWithinPartitions("list")
+    post_kind, ask_kind = "list long, vec_id long, embedding array<double>", "list long, vec_id long, low double, embedding array<double>"
+    stuck = None
+    for level in range(LEVELS):
+        big = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(f"n > {2 * leaf}")
+        if stuck is not None:
+            big = big.join(stuck, "list", "left_anti")
+        if big.isEmpty():
+            break
+        # a random share, so that rows which repeat a vec_id don't come together
+        some = posted.join(big, "list").where(F.rand(level) * F.col("n") < FAN * PER).select("list", "vec_id", "embedding", "n")
+
+        def fit(t: pa.Table) -> pa.Table:
+            raw = _matrix(t.column("embedding").combine_chunks())
+            x = _widen(raw, m2)
+            fan = int(min(FAN, max(2, -(-t.column("n")[0].as_py() // leaf)), max(1, len(x) // 4)))
+            c = balanced_centroids(x, fan)
+            names = ["list", "sub", "centroid", "ratio"]
+            if len(c) < 2:
+                c = c[:0]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * x.shape[1]), pa.array(c.ravel()))
+            ratio = tune(x, raw, c, k) if len(c) else 1.0
+            return pa.table([pa.array([t.column("list")[0].as_py()] * len(c), pa.int64()), pa.array(np.arange(len(c)), pa.int32()), flat, pa.array([ratio] * len(c), pa.float64())], names)
+
+        name = f"fit-{level}"
+        fits = ws.save(some.groupBy("list").applyInArrow(fit, "list long, sub int, centroid array<double>, ratio double").repartitionByRange("list").sortWithinPartitions("list", "sub"), name)
+        folder = f"{ws.path}/{name}"
+
+        def post(parts: Iterator[pa.RecordBatch], folder: str = folder) -> Iterator[pa.RecordBatch]:
+            for p, which, split in _by_list(parts, folder):
+                lists = np.zeros((len(p), 1), np.int64) if split is None else _lists_of(_widen(_matrix(p.column("embedding")), m2), split[0], 2)
+                row, copy = np.nonzero(lists >= 0)
+                at = pa.array(row)
+                yield pa.record_batch([pa.array(which * FAN + lists[row, copy], pa.int64()), p.column("vec_id").take(at), p.column("embedding").take(at)], ["list", "vec_id", "embedding"])
+
+        def ask(parts: Iterator[pa.RecordBatch], folder: str = folder) -> Iterator[pa.RecordBatch]:
+            for p, which, split in _by_list(parts, folder):
+                if split is None:
+                    row, sub = np.arange(len(p)), np.zeros(len(p), np.int64)
+                else:
+                    q = _matrix(p.column("embedding"))
+                    d = np.sqrt(_sq(np.concatenate([q, np.zeros((len(q), 1))], 1), split[0]))
+                    row, sub = np.nonzero(d <= d.min(1, keepdims=True) * split[1])
+                at = pa.array(row)
+                yield pa.record_batch([pa.array(which * FAN + sub, pa.int64()), p.column("vec_id").take(at), p.column("low").take(at), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
+
+        if not level:
+            # the bound counts sample rows that a query may not reach any more
+            asked = asked.withColumn("low", F.lit(float("-inf")))
+        # lists that were too long and couldn't be split have the number of their first part from now on
+        whole = big.select("list").join(fits.select("list").distinct(), "list", "left_anti")
+        stuck = (whole if stuck is None else whole.union(stuck)).select((F.col("list") * FAN).alias("list"))
+        stuck = ws.save(stuck, f"stuck-{level}")
+        posted = ws.save(dealt(posted).mapInArrow(post, post_kind), f"lists-{level}")
+        asked = ws.save(dealt(asked).mapInArrow(ask, ask_kind), f"asked-{level}")
+    return posted, asked
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace, leaf: int = LEAF) -> DataFrame:
     """Each query's ``k`` nearest rows: query_id, rank, vec_id, score. ``is_query`` tells queries by vec_id."""
     spark = vectors.sparkSession
     ship(spark)
@@ -205,27 +297,25 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataF
     taken = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "embedding").toArrow()
     ids, first = np.unique(taken.column(0).to_numpy(), return_index=True)
     raw = _matrix(taken.column(1).combine_chunks())[first]
-    widen = lambda z: np.concatenate([z, np.sqrt(np.maximum(m2 - (z * z).sum(1, keepdims=True), 0))], 1)
-    sample = widen(raw)
+    sample = _widen(raw, m2)
     n_lists = min(max(64 if about["n"] >= 4096 else 1, about["n"] // 400), max(1, len(sample) // 16))
     c = balanced_centroids(sample, n_lists)
     ratio = tune(sample, raw, c, k)
     shared = spark.sparkContext.broadcast((Centroids(c), ids, raw, _lists_of(sample, c)))
 
     def post(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            if not len(p):
-                continue
-            lists = _lists_of(widen(_matrix(p.column("embedding"))), shared.value[0].points)
+        for p in guarded("posting_lists", parts):
+            lists = _lists_of(_widen(_matrix(p.column("embedding")), m2), shared.value[0].points)
             row, copy = np.nonzero(lists >= 0)
-            yield pa.record_batch([pa.array(lists[row, copy], pa.int32()), p.column("vec_id").take(pa.array(row)), p.column("embedding").take(pa.array(row))], ["list", "vec_id", "embedding"])
+            yield pa.record_batch([pa.array(lists[row, copy], pa.int64()), p.column("vec_id").take(pa.array(row)), p.column("embedding").take(pa.array(row))], ["list", "vec_id", "embedding"])
 
-    posted = ws.save(own.mapInArrow(post, "list int, vec_id long, embedding array<double>"), "lists")
+    posted = ws.save(own.mapInArrow(post, "list long, vec_id long, embedding array<double>"), "lists")
+    # as many as there are centroids in memory
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, ids, raw, lists_of = shared.value
-        for p in parts:
+        for p in guarded("posting_lists", parts):
             q = _matrix(p.column("embedding"))
             q_ids = p.column("vec_id").to_numpy()
             rows, lists, low = [], [], []
@@ -241,17 +331,16 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace) -> DataF
                 lists += got
                 rows += [i] * len(got)
             at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(lists, pa.int32()), p.column("vec_id").take(at), pa.array(low, pa.float64()), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
-
-    asked = ws.save(own.where(is_query).mapInArrow(ask, "list int, vec_id long, low double, embedding array<double>"), "asked")
-    asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = {i: (-(-n // PART), -(-asks.get(i, 0) // ASK)) for i, n in sizes.items()}
-    table = lambda j: F.create_map(*(F.lit(y) for i, p in parts.items() for y in (i, p[j])))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(n, F.lit(1))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
-    of = lambda j: table(j)[F.col("list")]
-    left = posted.where(of(1) > 0).withColumn("part", deal(of(0))).withColumn("ask", every(of(1)))
-    right = asked.where(of(0) > 0).withColumn("ask", deal(of(1))).withColumn("part", every(of(0)))
+            yield pa.record_batch([pa.array(lists, pa.int64()), p.column("vec_id").take(at), pa.array(low, pa.float64()), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
+
+    asked = ws.save(own.where(is_query).mapInArrow(ask, "list long, vec_id long, low double, embedding array<double>"), "asked")
+    posted, asked = refined(posted, asked, m2, k, ws, leaf)
+    count = lambda t, name, size: t.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    parts = ws.save(count(posted, "parts", PART).join(count(asked, "asks", ASK), "list"), "parts")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = posted.join(parts, "list").withColumn("part", deal("parts")).withColumn("ask", every("asks")).drop("parts", "asks")
+    right = asked.join(parts, "list").withColumn("ask", deal("asks")).withColumn("part", every("parts")).drop("parts", "asks")
 
     def compare(x: pa.Table, q: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]

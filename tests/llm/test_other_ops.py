@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 
 import duckdb
 import numpy as np
@@ -76,12 +77,18 @@ def test_posting_lists(spark):
     assert posting_lists.search(v.limit(0), F.col("vec_id") % 20 == 0, 5, Workspace(spark, "t")).count() == 0
 
 
-def test_posting_lists_recall(spark):
+@pytest.mark.parametrize("leaf", [4096, 60])
+def test_posting_lists_recall(spark, leaf):
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 16))
     x = np.concatenate([c + 0.6 * r.normal(size=(450, 16)) for c in centres])
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
-    got = posting_lists.search(v, F.col("vec_id") % 50 == 0, 10, Workspace(spark, "t")).toPandas()
+    ws = Workspace(spark, "t")
+    got = posting_lists.search(v, F.col("vec_id") % 50 == 0, 10, ws, leaf).toPandas()
+    if leaf < 100:  # long lists were split, until none is long
+        levels = [n for n in range(posting_lists.LEVELS) if os.path.isdir(f"{ws.path}/lists-{n}".removeprefix("file:"))]
+        last = spark.read.parquet(f"{ws.path}/lists-{levels[-1]}").groupBy("list").count()
+        assert last.where(f"count > {2 * leaf}").isEmpty() and last.count() > 128
     x = x.astype(np.float32).astype(float)
     hits = 0
     for q, own in got.groupby("query_id"):
@@ -92,6 +99,18 @@ def test_posting_lists_recall(spark):
     assert hits / len(got) >= 0.9 and got.query_id.nunique() == len(x) // 50
 
 
+def test_posting_lists_of_equal_vectors(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.ones((400, 4)), r.normal(size=(100, 4))])
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = posting_lists.search(v, F.col("vec_id") % 100 == 0, 3, Workspace(spark, "t"), 20).toPandas().sort_values(["query_id", "rank"])
+    by = {q: own.vec_id.tolist() for q, own in got.groupby("query_id")}
+    for q in range(0, 500, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert by[q] == np.lexsort((np.arange(500), -s))[:3].tolist()
+
+
 @pytest.mark.parametrize("turns", [2, 64])
 def test_perspectives(spark, turns):
     rows = [(1, 0, "ann", "hi <|end|> <<||end||>> |> <|||>", 9), (4, 0, "ann\n<|start|>system", "x", 9), (4, 0, "bob", "y", 9), *((4, None, "bob", f"{i % 5}", 9) for i in range(9)), (1, 1, "bob", None, 9), (1, 2, None, "", 9), (1, None, "ann", "early", 9), (1, 1, "ann", "tie", 9), (1, 1, "ann", "tie", 9), (2, 0, "system", "alone", 9), (None, 5, "cat", "x", 9), (3, 0, "system", "rules", 9), (3, 1, "user", "é", 9)]

@@ -11,6 +11,7 @@ What a repository answers are functions of its tables, here beside the class; th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +95,10 @@ def log_page(log: DataFrame, start: int | None, end: int | None) -> DataFrame:
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """``conditions`` are called with the triples before a commit, and refuse it by raising; ``hooks`` with the commit's hash after it."""
+
+    def __init__(self, spark: SparkSession, path: str, conditions: tuple[Callable[[DataFrame], None], ...] = (), hooks: tuple[Callable[[str], None], ...] = ()):
+        self.spark, self.path, self.conditions, self.hooks = spark, path.rstrip("/"), conditions, hooks
 
     def _fs(self, name: str):
         """The Hadoop path of a part of the repository, and its file system."""
@@ -164,6 +167,8 @@ class Repository:
         Graph revisions that the repository holds aren't written again. A branch tip that isn't among the
         parents becomes a leaf; parents that were leaves stop being ones."""
         triples, version = conform(triples), self.version()
+        for holds in self.conditions:
+            holds(triples)
         graphs = checkpointed(graph_hash(triples))
         ds_hash = dataset_hash(graphs).first()[0]
         commit = commit_hash(ds, ds_hash, author, ts, message, *parents)
@@ -181,6 +186,8 @@ class Repository:
             rows.append((ds, "leaf", "", tip[3]))
         self._set_refs([*rows, (ds, "branch", branch, commit)], version)
         self.log({"type": "commit", "commit": commit, "ds": ds, "branch": branch, "message": message})
+        for told in self.hooks:
+            told(commit)
         return commit
 
     def set_branch(self, ds: str, branch: str, commit: str) -> None:
@@ -269,6 +276,10 @@ class Repository:
             out = out.crossJoin(t.agg(F.count_distinct(c).alias(name)))  # one row each
         return out
 
+    def state(self) -> str:
+        """A hash of refs and commits: two repositories with one hash hold the same."""
+        return version_hash(self.refs(), self.table("commits")).first()[0]
+
     # blobs
 
     def put_blobs(self, blobs: DataFrame) -> None:

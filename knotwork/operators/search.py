@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import RDFS, TYPE
+from ..functions.scalars import natural_key
+from ..model import OWL, RDFS, TYPE
 
 
 def tokens(c: Column) -> Column:
@@ -101,3 +102,27 @@ def id_values(t: DataFrame, ids: tuple[str, ...]) -> DataFrame:
     """Per graph and id property: its distinct values, ascending (ng, p, vals)."""
     own = t.where(F.col("p").isin(*ids)).select("ng", "p", "o").distinct()
     return own.groupBy("ng", "p").agg(F.sort_array(F.collect_list("o")).alias("vals"))
+
+
+def full_documents(t: DataFrame, main: DataFrame, labels: tuple[str, ...], comments: tuple[str, ...], ids: tuple[str, ...], owner: str) -> DataFrame:
+    """One search document per graph, as a map of field names to values: graph_uri, main_type, fields.
+
+    ``main`` (cls, main_type) says which types make a graph's main node: one such node gives its type, several or none give "-".
+    Labels, comments and ids are those of all its nodes; ``owner`` is the predicate from an id's node to who issued it, in any graph."""
+    own = t.where(F.col("p") == TYPE).join(main, F.col("o") == F.col("cls")).groupBy("ng").agg(F.count_distinct("s").alias("n"), F.min("s").alias("node"), F.min("main_type").alias("kind"))
+    names = t.where(F.col("p").isin(*labels)).select(F.col("s").alias("o"), F.col("o").alias("v")).distinct()
+    owners = t.where(F.col("p") == owner).select("ng", "o").join(names, "o").select("ng", F.lit("id.idOwner").alias("field"), "v")
+    of = lambda ps, field: t.where(F.col("p").isin(*ps)).select("ng", F.lit(field).alias("field"), F.col("o").alias("v"))
+    ids_ = of(ids, "id")
+    rows = [
+        of(labels, "label"), of(labels, "label.phrase"), of(comments, "comment"), ids_, ids_.withColumn("field", F.lit("id.key")), ids_.select("ng", F.lit("id.sort"), natural_key(F.col("v"))), owners,
+        of((f"{OWL}imports",), "directImport"), t.where("o_kind = 'lit'").select("ng", F.lit("literal"), "o"),
+        t.groupBy("ng").agg(F.count_distinct("s").cast("string").alias("v")).select("ng", F.lit("nodeCount"), "v"),
+        own.where("n = 1").select("ng", F.lit("mainNode"), "node"),
+    ]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.union(r)
+    values = every.distinct().groupBy("ng", "field").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    docs = values.groupBy("ng").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "vs")))).alias("fields"))
+    return docs.join(own, "ng", "left").select(F.col("ng").alias("graph_uri"), F.when(F.col("n") == 1, F.col("kind")).otherwise("-").alias("main_type"), "fields")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..model import EX, RDF, RDFS, SCHEMA_NS, TYPE, XSD, lower, sql, table
 from ..operators import convert as C
 from ..operators import graphs as G
+from ..operators import index_mapping as I
 from ..operators import lists as L
 from ..operators import mutations as M
+from ..operators import search as X
 from ..operators import setops as U
 from ..operators import vocab as V
 from ..operators.revisions import Repository
@@ -373,3 +375,44 @@ def c09(spark, d):
     outer = o.select(F.lit("g").alias("ng"), F.concat(F.lit("_:c"), F.col("o_custkey").cast("string")).alias("node"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("member_idx"), own.alias("o"), F.lit("node").alias("o_kind"), none.alias("o_dtype"))
     inner = o.select(F.lit("g"), own, F.posexplode(F.array(k * 10, k * 10 + 1))).toDF("ng", "node", "member_idx", "v").select("ng", "node", "member_idx", F.col("v").cast("string"), F.lit("lit"), none)
     return L.nested(outer.union(inner)).select("node", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "o")
+
+
+def _documents(spark, d):
+    """A graph for each nation, with its region as who issued its id; and one that has all regions."""
+    t = lower(spark, d, *_NR)
+    own = t.where("ng like '%nation'").withColumn("ng", F.col("s")).unionByName(t.where("ng like '%region'"))
+    main = spark.createDataFrame([(f"{N}Nation", "Organization"), (f"{N}Region", "Person")], "cls string, main_type string")
+    return X.full_documents(own, main, (f"{N}n_name", f"{N}r_name"), (), (f"{N}n_name",), f"{N}n_regionkey")
+
+
+@query("x01_full_documents", f"SELECT '{EX}nation#' || n_nationkey AS graph_uri, 'Organization' AS main_type, n_name AS label, r_name AS owner, '{EX}nation#' || n_nationkey AS main_node, '1' AS nodes FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '{EX}region', '-', string_agg(r_name, '|' ORDER BY r_name), NULL, NULL, CAST(count(*) AS VARCHAR) FROM region")
+def x01(spark, d):
+    f = lambda k: F.array_join(F.col("fields")[k], "|")
+    return _documents(spark, d).select("graph_uri", "main_type", f("label").alias("label"), f("id.idOwner").alias("owner"), f("mainNode").alias("main_node"), f("nodeCount").alias("nodes"))
+
+
+@query("x02_terms", f"""WITH n AS (SELECT '{EX}nation#' || n_nationkey AS g, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), tok AS (SELECT g, 'label' AS field, unnest(regexp_split_to_array(lower(n_name), '[^a-z0-9]+')) AS term FROM n)
+SELECT DISTINCT * FROM (SELECT * FROM tok WHERE term <> '' UNION ALL SELECT g, 'label.phrase', lower(n_name) FROM n UNION ALL SELECT g, 'id', n_name FROM n UNION ALL SELECT g, 'id.key', lower(translate(trim(n_name, '-_/ '), '_/ ', '---')) FROM n) v(graph_uri, field, term)""")
+def x02(spark, d):
+    """The inverted index of some fields, each by its own analyzer."""
+    t = I.terms(_documents(spark, d).where("main_type = 'Organization'"), "Organization")
+    return t.where("field in ('label', 'label.phrase', 'id', 'id.key')")
+
+
+@query("x02_mapping", "SELECT 14 AS types, CAST(3 AS BIGINT) AS only_one")
+def x02b(spark, d):
+    """Every type has the common fields; three fields belong to one type alone."""
+    m = I.mapping(spark)
+    n = m.groupBy("field").agg(F.count_distinct("type").alias("n"))
+    return n.agg(F.max("n").cast("int").alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("only_one"))
+
+
+@query("u09_same_state", "SELECT unnest(['clone', 'after a commit']) AS what, unnest([true, false]) AS same")
+def u09(spark, d):
+    t = lower(spark, d, "region")
+    r, to = Repository(spark, _folder(spark)), Repository(spark, _folder(spark))
+    one = r.commit("ds", t, "me", "2020-01-01 00:00:00", "one")
+    to.sync_from(r)
+    clone = r.state() == to.state()
+    to.commit("ds", t.where("o_kind = 'lit'"), "me", "2020-01-02 00:00:00", "two", parents=(one,))
+    return spark.createDataFrame([("clone", clone), ("after a commit", r.state() == to.state())], "what string, same boolean")

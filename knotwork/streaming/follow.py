@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import search
-from ..operators.revisions import TABLES, Repository
+from ..operators.revisions import TABLES, Repository, commit_hash
 
 
 def stream(repository: Repository, name: str) -> DataFrame:
@@ -37,10 +37,13 @@ def _start(df: DataFrame, apply, checkpoint: str, interval: str | None) -> Strea
 
 
 class SearchIndex:
-    """Search documents of all graph revisions a repository has; derived once for each content hash, as commits come in."""
+    """Search documents of all graph revisions a repository has; derived once for each content hash, as commits come in.
 
-    def __init__(self, repository: Repository, path: str, labels: tuple[str, ...], ids: tuple[str, ...] = ()):
-        self.repository, self.path, self.labels, self.ids = repository, path.rstrip("/"), labels, ids
+    What is derived for another ``version`` of the derivation, or other labels and ids, isn't used: that index starts anew."""
+
+    def __init__(self, repository: Repository, path: str, labels: tuple[str, ...], ids: tuple[str, ...] = (), version: str = "1"):
+        self.repository, self.labels, self.ids = repository, labels, ids
+        self.path = f"{path.rstrip('/')}/{commit_hash(version, *labels, '', *ids)[:16]}"
 
     def _documents(self) -> DataFrame | None:
         spark = self.repository.spark

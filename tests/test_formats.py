@@ -94,3 +94,41 @@ def test_index_follows_commits(spark, tmp_path):
     log = follow.log_stream(r).writeStream.format("memory").queryName("log").trigger(availableNow=True).start()
     log.awaitTermination()
     assert spark.table("log").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from knotwork.__main__ import run
+
+    (tmp_path / "a.ttl").write_text("@prefix e: <http://a/g#> . e:s a e:C ; e:name 'red apple' .")
+    (tmp_path / "b.ttl").write_text("@prefix e: <http://a/g#> . e:s a e:C ; e:name 'green apple' .")
+
+    def told(*args):
+        run(spark, [f"file://{tmp_path}/r", *args])
+        return capsys.readouterr().out.splitlines()
+
+    (one,) = told("import", "ds", str(tmp_path / "a.ttl"), "--message", "first")
+    (two,) = told("import", "ds", str(tmp_path / "b.ttl"), "--parent", one)
+    assert told("datasets") == ["ds", "ds"] and told("branches", "ds")[1] == f"master\t{two}"
+    assert len(told("diff", two, one)) == 3 and told("commit-diff", two, one)[1] == "http://a/g\tmodified"
+    assert [x.split("\t")[0] for x in told("history", two)[1:]] == [two, one] and told("info")[1] == "2\t2\t2\t2"
+    assert len(told("query", one, "+red", "--label", "http://a/g#name")) == 2 and len(told("query", two, "+red", "--label", "http://a/g#name")) == 1
+    assert len(told("touching", one, "http://a/g#s")) == 3 and told("fragment", one, "s")[1].startswith("http://a/g#s")
+    told("checkout", one, "--to", str(tmp_path / "out"))
+    assert key(turtle.read(spark, f"{tmp_path}/out/*/*.txt").drop("_corrupt_record")) == key(turtle.read(spark, str(tmp_path / "a.ttl")).drop("_corrupt_record"))
+    run(spark, [f"file://{tmp_path}/other", "sync", f"file://{tmp_path}/r"])
+    assert Repository(spark, f"file://{tmp_path}/other").state() == Repository(spark, f"file://{tmp_path}/r").state()
+
+
+def test_conditions_and_hooks(spark, tmp_path):
+    told = []
+
+    def never_empty(t):
+        if t.isEmpty():
+            raise ValueError("nothing to commit")
+
+    r = Repository(spark, f"file://{tmp_path}/r", (never_empty,), (told.append,))
+    t = triples(spark, ("g", "s", "p", "'1"))
+    with pytest.raises(ValueError):
+        r.commit("ds", t.limit(0), "me", "2020-01-01 00:00:00", "one")
+    assert r.version() == 0
+    assert told == [] and r.commit("ds", t, "me", "2020-01-01 00:00:00", "one") in told

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import EX, RDF, RDFS, SCHEMA_NS, TYPE, XSD, lower, sql, table
+from ..model import EX, OWL, RDF, RDFS, SCHEMA_NS, TYPE, XSD, conform, lower, sql, table
 from ..operators import convert as C
 from ..operators import graphs as G
 from ..operators import index_mapping as I
@@ -14,7 +14,7 @@ from ..operators import search as X
 from ..operators import setops as U
 from ..operators import vocab as V
 from ..operators.revisions import Repository
-from ..sources import graphfiles, p21, turtle, xmltree
+from ..sources import graphfiles, ontologies, p21, turtle, xmltree
 from ..streaming import follow
 from .queries_repository import _folder
 from .registry import query
@@ -416,3 +416,49 @@ def u09(spark, d):
     clone = r.state() == to.state()
     to.commit("ds", t.where("o_kind = 'lit'"), "me", "2020-01-02 00:00:00", "two", parents=(one,))
     return spark.createDataFrame([("clone", clone), ("after a commit", r.state() == to.state())], "what string, same boolean")
+
+
+@query("g13_read_closure", "SELECT 'n3' AS ng UNION ALL SELECT 'r' || n_regionkey FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'world'")
+def g13(spark, d):
+    """Graph files of nations, regions and the world; one nation's graph with all that it imports."""
+    from .queries_graphs import imports
+
+    e = imports(spark, d).where("a not like 'c%'")
+    t = e.select(F.col("a").alias("ng"), F.lit("iri").alias("s_kind"), F.col("a").alias("s"), F.lit(f"{OWL}imports").alias("p"), F.lit("node").alias("o_kind"), F.col("b").alias("o"))
+    t = t.unionByName(t.limit(1).withColumn("ng", F.lit("world")).withColumn("p", F.lit("p")))
+    at = _folder(spark)
+    graphfiles.write(t, at)
+    return graphfiles.read_closure(spark, at, "n3").select("ng").distinct()
+
+
+def _ontology_file(spark):
+    """The ontology of the rules' queries as a Turtle file, loaded again."""
+    from .queries_rules import ontology
+
+    at = _folder(spark)
+    turtle.write(conform(ontology(spark)).withColumn("o_kind", F.lit("node")).withColumn("s_kind", F.lit("iri")), at)
+    return ontologies.load(spark, f"{at}/*/*.txt")
+
+
+@query("s30_dictionary", f"SELECT '{EX}customer#' || c_custkey AS s, '{N}c_nationkey' AS p, '{N}home' AS kind FROM customer UNION ALL SELECT '{EX}supplier#' || s_suppkey, '{N}s_nationkey', '{N}home' FROM supplier")
+def s30(spark, d):
+    """Triples by a dictionary's property that is functional, or below one that is."""
+    book = _ontology_file(spark)
+    t = lower(spark, d, "customer", "supplier", predicates=(f"{N}c_nationkey", f"{N}s_nationkey", f"{N}c_name"))
+    top = book.elements.where("is_functional").select(F.col("element").alias("kind"))
+    return t.join(book.kinds.where("depth > 0").join(top, "kind", "left_semi").select(F.col("sub").alias("p"), "kind"), "p").select("s", "p", "kind")
+
+
+@query("j03_lookup", f"SELECT DISTINCT 'http://ex.org/schema#' || c AS element, c <> 'c_mktsegment' AS known, CASE WHEN c <> 'c_mktsegment' THEN true END AS is_property FROM (SELECT unnest(['c_nationkey', 'c_name', 'c_mktsegment', 'c_acctbal']) AS c)")
+def j03(spark, d):
+    p = lower(spark, d, "customer", predicates=tuple(N + c for c in ("c_nationkey", "c_name", "c_mktsegment", "c_acctbal"))).select(F.col("p").alias("element")).distinct()
+    return _ontology_file(spark).lookup(p).select("element", "known", "is_property")
+
+
+@query("j07_repointed", f"WITH {sql('customer', 'nation')} SELECT o AS node, count(*) AS refs FROM triples WHERE o_kind = 'node' AND o IN (SELECT s FROM triples WHERE ng LIKE '%nation') GROUP BY o")
+def j07(spark, d):
+    """Two stages become one: references of the first find the nodes of the second, since a node is its name."""
+    moved = U.union(lower(spark, d, "customer"), lower(spark, d, "nation"))
+    nodes = moved.where("ng like '%nation'").select(F.col("s").alias("node")).distinct()
+    refs = moved.where("o_kind = 'node'").select(F.col("o").alias("node"))
+    return refs.join(nodes, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("refs"))

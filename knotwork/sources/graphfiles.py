@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import base64_url, graph_id
 from ..model import COLUMNS, OWL, conform
 from ..operators.aggregates import graph_hash
+from ..operators.graphs import reach
 from ..operators.patterns import canonical_key
 
 
@@ -47,3 +48,10 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
     """Graphs whose triples aren't those that the header's hash states: ng."""
     now = graph_hash(read(spark, path)).withColumnRenamed("hash", "now")
     return headers(spark, path).join(now, "ng", "full_outer").where("not (hash <=> now)").select("ng")
+
+
+def read_closure(spark: SparkSession, path: str, *graphs: str) -> DataFrame:
+    """The triples of some graphs and of all that they import, directly or not. Headers say which; other graphs' rows aren't kept."""
+    edges = headers(spark, path).select(F.col("ng").alias("a"), F.explode("imports").alias("b"))
+    wanted = reach(edges, spark.createDataFrame([(g,) for g in graphs], "node string"))
+    return read(spark, path).join(wanted.select(F.col("node").alias("ng")), "ng", "left_semi").select(*COLUMNS)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EX, FIRST, NIL, OWL, RDF, RDFS, SCHEMA, TYPE, XSD
+from ..model import EX, FIRST, NIL, OWL, RDF, RDFS, SCHEMA, TYPE, XSD, conform
 from ..operators.graphs import checkpointed
 from ..shipping import ship
 
@@ -271,17 +271,22 @@ def _rows(text: str, name: str, mode: str, trig: bool = False) -> Iterator[tuple
     whole = next((s[1] for x in found if not isinstance(x, SyntaxProblem) for _, s, p, o in [x] if p == TYPE and o[1] == f"{OWL}Ontology"), None)
     base = lambda s: s.partition("#")[0]
     named = next((base(x[1][1]) for x in found if not isinstance(x, SyntaxProblem) and x[1][0] == "iri"), f"urn:file:{name}")
+    stated: set[str] = set()
     for x in found:
         if isinstance(x, SyntaxProblem):
             yield (None,) * 10 + (str(x),)
             continue
         g, (sk, s, _, _), p, (ok, o, dtype, lang) = x
         ng = (g or whole or named).removesuffix("#")
+        # that a graph is an ontology goes without saying: the first such triple is left out, and the writer puts it back
+        if p == TYPE and o == f"{OWL}Ontology" and ng not in stated:
+            stated.add(ng)
+            continue
         yield (ng, sk, s, p, "lit" if ok == "lit" else "node", o, dtype, lang, None, None, None)
 
 
 def read(spark: SparkSession, path: str, mode: str = "FAILFAST", trig: bool = False) -> DataFrame:
-    """The triples of Turtle and TriG files (.trig, or all with ``trig``); lists stay rdf:first/rest rows (see ``operators.lists.collapse``).
+    """The triples of Turtle and TriG files (.trig, or all with ``trig``), but for the first that calls a graph an ontology; lists stay rdf:first/rest rows (see ``operators.lists.collapse``).
 
     ``mode``: FAILFAST, DROPMALFORMED, or PERMISSIVE with problems in ``_corrupt_record``."""
     ship(spark)
@@ -373,6 +378,12 @@ def statements(t: DataFrame, prefixes: dict[str, str] | None = None, depth: int
 MEMBERS = f"{EX}members"
 
 
+def _with_ontology(t: DataFrame) -> DataFrame:
+    """``t`` with the triple that every graph's file starts with: that the graph is an ontology."""
+    made = t.select("ng").distinct().select("ng", F.lit("iri").alias("s_kind"), F.col("ng").alias("s"), F.lit(TYPE).alias("p"), F.lit("node").alias("o_kind"), F.lit(f"{OWL}Ontology").alias("o"))
+    return conform(t).unionByName(made, allowMissingColumns=True)
+
+
 def _header(prefixes: dict[str, str]) -> str:
     return "\n".join(f"@prefix {k}: <{v}> ." for k, v in sorted(prefixes.items()))
 
@@ -384,7 +395,7 @@ def write(t: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> No
     from ..functions.scalars import base64_url
 
     prefixes = PREFIXES if prefixes is None else prefixes
-    out = statements(t, prefixes).select("ng", "ord", "s", "text")
+    out = statements(_with_ontology(t), prefixes).select("ng", "ord", "s", "text")
     head = t.select("ng").distinct().select("ng", F.lit(-1).alias("ord"), F.lit("").alias("s"), F.lit(_header(prefixes)).alias("text"))
     out = out.unionByName(head if prefixes else head.where(F.lit(False))).withColumn("graph", base64_url(F.col("ng")))
     out.repartition("graph").sortWithinPartitions("graph", "ord", "s").select("graph", "text").write.partitionBy("graph").text(path, lineSep="\n\n")
@@ -393,7 +404,7 @@ def write(t: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> No
 def write_trig(t: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
     """TriG in one file: prefixes, then a block for each graph, its subjects in order. Each line of the file is a row, so no block is held whole."""
     prefixes = PREFIXES if prefixes is None else prefixes
-    own = statements(t, prefixes).select("ng", "ord", "s", "text")
+    own = statements(_with_ontology(t), prefixes).select("ng", "ord", "s", "text")
     g = t.select("ng").distinct()
     opened = g.select("ng", F.lit(-1).alias("ord"), F.lit("").alias("s"), F.concat(F.lit("<"), "ng", F.lit("> {")).alias("text"))
     closed = g.select("ng", F.lit(2).alias("ord"), F.lit("").alias("s"), F.lit("}").alias("text"))

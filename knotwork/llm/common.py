@@ -82,6 +82,13 @@ def files_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema).repartition(max(1, min(n, max(16 * spark.sparkContext.defaultParallelism, n // 64))))
 
 
+def thinned(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, or all of a smaller one, by the hash of some columns: so that what is sorted for a bounded
+    sample is bounded too, however many partitions there are."""
+    share = max(1, df.count() // rows)
+    return df if share == 1 else df.where(F.pmod(F.xxhash64(F.lit(11), *columns), F.lit(share)) == 0)
+
+
 def utf8_size(c):
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 

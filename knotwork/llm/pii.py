@@ -6,13 +6,15 @@ spelled-out addresses, IPv6); boosted trees judge each by its format and what st
 threshold per kind, set on held-out candidates after Platt calibration, selects. Selected spans that
 overlap a base span or a likelier one are dropped.
 
-The trees are trained on the driver, on candidates made by rule from a fixed seed (``examples``): no
-labels of personal data exist to learn from. The model is a few kilobytes and goes with the task.
+No labels of personal data exist to learn from. So spans of known kinds, harmful and harmless, made by rule
+from a fixed seed (``examples``), are planted into the corpus' own text: at most ``CARRIERS`` rows, those with the least
+hash of doc_id, of each at most ``CARRIER_CHARS`` characters, go to the driver; a third of them is for the trees, a third for
+calibration and thresholds, the rest for tests. The model is a few kilobytes and goes with the task.
 
-Scale: one pass over the texts, no exchange. Patterns take time in proportion to the text, also on one
-word of any length.
+Scale: one pass over the texts, no exchange, some megabytes at a time. Patterns take time in proportion to the text, also on
+one word of any length.
 
-Defined cases: null and empty texts have no span; ties between candidates go to the earlier, then longer
+Defined cases: with fewer than ``LEAST`` rows to plant into, made words stand for them; null and empty texts have no span; ties between candidates go to the earlier, then longer
 span; repeated rows give repeated results; other columns pass through ``redact`` unchanged.
 """
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .boosting import Boosted
+from .common import thinned
 from .worker import give_back, held, pieces
 
 #: Kinds in the order in which spans of one start are listed: the base ones, then the judged ones.
@@ -108,6 +111,10 @@ CUES = {
     "harmless": ("order", "invoice", "version", "isbn", "page", "part", "article", "build", "commit", "sha", "checksum", "file", "model", "item", "ref", "http", "https", "www", "score", "time", "date", "years", "total"),
 }
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
+#: Fixed word list: ends of host names.
+ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
+#: Rows that give text to plant into, characters of each, and the least number of them.
+CARRIERS, CARRIER_CHARS, LEAST = 600, 2000, 60
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -139,13 +146,23 @@ def features(text: str, span: Span) -> list[float]:
         float(kind in cues), float("harmless" in cues), float(cues[-1:] == [kind]), float(cues[-1:] == ["harmless"]),
         float(bare[-1:] == "="), float(bare[-1:] == ":"), float(bare[-1:] in {"/", "#", "-", "_"}), float(before[-1:] in {'"', "'", "`"} and after[:1] in {'"', "'", "`"}),
         float(after[:1].isalnum()), float(kind == "iban" and _mod97(s)), s.count("."), s.count("-"), s.count(":"), s.count("/"), float("::" in s),
+        float(kind == "email_spelled" and s.lower().endswith(ENDS)), float("at]" in s or "(at)" in s or "dot]" in s or "(dot)" in s),
         float(kind == "ssn" and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
     ]
 
 
-def examples(seed: int, n: int = 2400) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Candidates made by rule, half of them personal data: features, labels, kinds."""
+def carriers(docs: DataFrame, rows: int = CARRIERS, chars: int = CARRIER_CHARS) -> tuple[str, ...]:
+    """Text of the corpus to plant spans into: at most ``rows`` rows of ``chars`` characters; none where there are too few."""
+    own = thinned(docs.select("doc_id", "text"), 4 * rows, "doc_id", "text")
+    own = own.where(F.length("text") >= 100).select("doc_id", F.substring("text", 1, chars).alias("text"))
+    got = own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    return tuple(r["text"] for r in got) if len(got) >= LEAST else ()
+
+
+def examples(seed: int, n: int = 2400, texts: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Candidates made by rule, half of them personal data, planted into ``texts`` or made words: features, labels, kinds."""
     r = random.Random(seed)
+    own = [w for t in texts if len(w := t.split()) >= 10]
     pick, hexa, alnum = r.choice, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     many = lambda cs, k: "".join(pick(cs) for _ in range(k))
     num = lambda k: many("0123456789", k)
@@ -177,8 +194,14 @@ def examples(seed: int, n: int = 2400) -> tuple[np.ndarray, np.ndarray, list[str
         q = '"' if kind == "secret" and r.random() < 0.5 else ""
         if good and kind in ("secret", "phone_local") and not lead:
             lead = f"{pick(CUES[kind])} = "
-        text = " ".join(word() for _ in range(5)) + f" {lead}{q}{s}{q} " + " ".join(word() for _ in range(4))
-        a = text.index(s)
+        if own:
+            ws = pick(own)
+            k = r.randrange(len(ws) - 8)
+            left, right = " ".join(ws[k : k + 5]), " ".join(ws[k + 5 : k + 9])
+        else:
+            left, right = " ".join(word() for _ in range(5)), " ".join(word() for _ in range(4))
+        text = f"{left} {lead}{q}{s}{q} {right}"
+        a = len(left) + 1 + len(lead) + len(q)
         if any(c == (kind, a, a + len(s)) for c in propose(text)):
             x.append(features(text, (kind, a, a + len(s))))
             y.append(float(good))
@@ -190,11 +213,11 @@ def examples(seed: int, n: int = 2400) -> tuple[np.ndarray, np.ndarray, list[str
 PRECISION = 0.97
 
 
-@functools.cache
-def model() -> tuple[Boosted, dict[str, float]]:
-    """The trees, calibrated, and each kind's threshold."""
-    trees = Boosted().fit(*examples(1)[:2])
-    x, y, kinds = examples(2)
+@functools.lru_cache(maxsize=4)
+def model(texts: tuple[str, ...] = ()) -> tuple[Boosted, dict[str, float]]:
+    """The trees, calibrated, and each kind's threshold, from spans planted into two thirds of ``texts``."""
+    trees = Boosted().fit(*examples(1, texts=texts[::3])[:2])
+    x, y, kinds = examples(2, texts=texts[1::3])
     p = trees.calibrate(x, y).probability(x)
     cuts = {}
     for k in JUDGED:
@@ -203,6 +226,7 @@ def model() -> tuple[Boosted, dict[str, float]]:
         right = y[own][order].cumsum() / np.arange(1, own.sum() + 1)
         ok = np.flatnonzero(right >= PRECISION)
         cuts[k] = max(0.5, float(p[own][order][ok[-1]])) if len(ok) else 1.1
+    give_back()
     return trees, cuts
 
 
@@ -252,7 +276,7 @@ def masked(text: str, spans: list[Span]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): base counts, digest of the base spans, all spans, and how many they are."""
     ship(docs.sparkSession)
-    trees, cuts = model()
+    trees, cuts = model(carriers(docs))
     names = [f"n_{k}" for k in BASE]
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +299,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every selected span in ``text`` masked; all other columns as they were."""
     ship(docs.sparkSession)
-    trees, cuts = model()
+    trees, cuts = model(carriers(docs))
 
     @F.arrow_udf("string")
     def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import thinned
 from .worker import EVERY, give_back, held, sizes, spans
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 16_384
@@ -98,7 +99,7 @@ def word_vectors(texts: list[str], rows: Rows) -> np.ndarray:
         code = rows.of(t.split())
         held.append((code & 0xFFFF).astype(np.int64))
         n += len(code)
-        if n > 100_000:
+        if n > 50_000:
             add()
             held, n = [], 0
     if n > 2 * WINDOW:
@@ -171,7 +172,8 @@ class Constant:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS):
     """Word vectors and network from at most ``rows`` labelled rows that aren't held out."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
+    known = thinned(labels.select("doc_id", "quality"), 4 * rows, "doc_id")
+    known = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
     own = docs.select(F.col("doc_id").alias("_doc"), F.substring("text", 1, chars).alias("text")).where("text is not null")
@@ -184,6 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         return np.zeros((ROWS, DIM), np.float32), Constant(float((y > 0).mean()) if len(y) else 0.5)
     vectors = word_vectors(list(got["text"]), memory)
     x = np.stack([pooled(t, vectors, memory) for t in got["text"]]).astype(float)
+    del got, memory
+    give_back()
     y = (y > 0).astype(float)
     kept = np.arange(len(y)) % 5 == 0
     return vectors, Network().fit(x[~kept], y[~kept]).calibrate(x[kept], y[kept])

@@ -276,7 +276,8 @@ def _groups(docs: DataFrame, ws: Workspace) -> DataFrame:
         members = root_of(root_of(stars, "lead"), "id").select(F.col("lead_root").alias("lead"), "id", F.col("id_root").alias("root")).distinct()
         members = ws.save(members, "members")
         outside = members.where("root <> lead").select("lead").distinct()
-        near = members.join(outside, "lead", "left_semi")
+        # a lead that many share spreads over tasks before its members' values are taken apart
+        near = members.join(outside, "lead", "left_semi").repartition("id")
         sets = ws.save(_sets(docs, classes, near.select("id").distinct()), "hot-sets")
         sets = ws.save(with_rarest(sets, common_slots(sets)), "rarest")
         # a member shares a rare value with every set it links to; without one in another component it has no link left

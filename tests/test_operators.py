@@ -239,3 +239,24 @@ def test_name_parts(spark):
     h = "".join(f"{b:02x}" for b in __import__("hashlib").sha256(b"y").digest())
     want = __import__("base64").b32encode(bytes.fromhex(h)).decode().rstrip("=")
     assert spark.sql(f"select '{h}' as h").select(S.base32(F.col("h"))).first()[0] == want
+
+
+def test_validation_never_broadcasts_data(spark, tmp_path):
+    """A compressed file's size tells little about its rows: joins build on the ontology's side alone."""
+    import re
+
+    from knotwork.model import SCHEMA_NS, lower
+    from knotwork.operators import validate, vocab
+    from knotwork.plans.queries_rules import ontology
+
+    for name, rows, kind in (("customer", [(1, "a", 1, 2.0, "x"), (2, "b", 9, 1.0, "y")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"), ("nation", [(1, "n", 0)], "n_nationkey int, n_name string, n_regionkey int")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    o = ontology(spark)
+    e, k = vocab.elements(o), vocab.kinds(o)
+    t = lower(spark, str(tmp_path), "customer", "nation")
+    found = validate.domain_and_range(t, e, vocab.inherited(e, k), k)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (found, validate.functional(t, e, k))]
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" in plans[1]
+    for p in plans:
+        assert not re.search(r"BuildLeft|BroadcastHashJoin[^\n]*Left(Anti|Semi)", p)
+    assert sorted((r["rule"], r["predicate"], r["subject"].rpartition("#")[2]) for r in found.collect()) == [("predicate_unknown", f"{SCHEMA_NS}c_mktsegment", i) for i in "12"]

@@ -35,40 +35,45 @@ def set_members(t: DataFrame, new: DataFrame) -> DataFrame:
     return rest.unionByName(new, allowMissingColumns=True)
 
 
-def _levels(t: DataFrame) -> list[DataFrame]:
-    """(ng, cell, nxt): level i leads from each cell of a chain to the one 2 ** i on, rdf:nil where the chain has ended.
-
-    A cell with several rests follows the least; one whose rest is no cell ends its chain. After as many levels as the number of
-    cells has bits every chain has ended, unless it runs into a circle."""
-    rest = t.where(F.col("p") == REST).groupBy("ng", F.col("s").alias("cell")).agg(F.min("o").alias("nxt"))
-    cells = rest.select("ng", F.col("cell").alias("nxt"), F.col("nxt").alias("nn"))
-    levels = [checkpointed(rest.join(cells, ["ng", "nxt"], "left").select("ng", "cell", F.when(F.col("nn").isNull(), NIL).otherwise(F.col("nxt")).alias("nxt")))]
-    for _ in range(levels[0].count().bit_length()):
-        if levels[-1].where(F.col("nxt") != NIL).isEmpty():
-            break
+def _rests(t: DataFrame) -> DataFrame:
+    """(ng, cell, nxt): the rest of each cell; one with several rests follows the least."""
+    return t.where(F.col("p") == REST).groupBy("ng", F.col("s").alias("cell")).agg(F.min("o").alias("nxt"))
+
+
+def _levels(links: DataFrame) -> list[DataFrame]:
+    """(ng, cell, nxt): level i leads over ``links`` from a cell to the one 2 ** i on; cells whose chain ends before have no row.
+
+    A chain that ends has a cell with just 2 ** i links ahead for each i up to its length. So a level of as many cells as the one before
+    has only cells of endless chains, and is the last one: rounds follow the longest chain that ends, not the number of cells."""
+    levels, n = [checkpointed(links)], -1
+    while (size := levels[-1].count()) not in (0, n):
+        n = size
         far = levels[-1].select("ng", F.col("cell").alias("nxt"), F.col("nxt").alias("nn"))
-        levels.append(checkpointed(levels[-1].join(far, ["ng", "nxt"], "left").select("ng", "cell", F.coalesce("nn", F.lit(NIL)).alias("nxt"))))
+        levels.append(checkpointed(levels[-1].join(far, ["ng", "nxt"]).select("ng", "cell", F.col("nn").alias("nxt"))))
     return levels
 
 
 def endless(t: DataFrame) -> DataFrame:
     """(ng, cell): cells of chains that never end, because they run into a circle."""
-    return _levels(t)[-1].where(F.col("nxt") != NIL).select("ng", "cell")
+    return _levels(_rests(t).where(F.col("nxt") != NIL))[-1].select("ng", "cell")
 
 
 def collapse(t: DataFrame) -> DataFrame:
     """Chains of rdf:first/rest as list rows: node (the head), member_idx, o, o_kind, o_dtype.
 
     By pointer doubling, so a chain of n cells takes log2(n) joins. Heads are cells that no rest points to; a shared tail belongs
-    to each of its heads. Chains that run into a circle are no lists and give no row: ``endless`` has their cells."""
-    levels = _levels(t)
+    to each of its heads. A cell whose rest is no cell ends its chain. Chains that run into a circle are no lists and give no row:
+    ``endless`` has their cells."""
+    rests = checkpointed(_rests(t))
+    links = rests.where(F.col("nxt") != NIL).join(rests.select("ng", F.col("cell").alias("nxt")), ["ng", "nxt"], "left_semi")
+    levels = _levels(links.select("ng", "cell", "nxt"))
     first = t.where(F.col("p") == FIRST).select("ng", F.col("s").alias("cell"), "o", "o_kind", "o_dtype")
     pointed = t.where(F.col("p") == REST).select("ng", F.col("o").alias("cell"))
-    heads = levels[-1].where(F.col("nxt") == NIL).select("ng", "cell").join(pointed, ["ng", "cell"], "left_anti")
-    # the covered stretch doubles with every level
+    heads = rests.select("ng", "cell").join(pointed, ["ng", "cell"], "left_anti").join(levels[-1], ["ng", "cell"], "left_anti")
+    # the covered stretch doubles with every level; nothing of what ends is in the last one
     held = heads.select("ng", F.col("cell").alias("head"), "cell", F.lit(0).alias("idx"))
-    for i, level in enumerate(levels):
-        to = level.where(F.col("nxt") != NIL).select("ng", "cell", F.col("nxt").alias("far"))
+    for i, level in enumerate(levels[:-1]):
+        to = level.select("ng", "cell", F.col("nxt").alias("far"))
         more = held.join(to, ["ng", "cell"]).select("ng", "head", F.col("far").alias("cell"), (F.col("idx") + (1 << i)).alias("idx"))
         held = checkpointed(held.union(more))
     return held.join(first, ["ng", "cell"]).select("ng", F.col("head").alias("node"), F.col("idx").alias("member_idx"), "o", "o_kind", "o_dtype")

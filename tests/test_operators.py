@@ -241,6 +241,20 @@ def test_name_parts(spark):
     assert spark.sql(f"select '{h}' as h").select(S.base32(F.col("h"))).first()[0] == want
 
 
+def test_rounds_of_endless_follow_the_longest_list(spark, monkeypatch):
+    """Many short lists beside a circle: rounds follow the lists' length, not how many cells there are."""
+    from knotwork.model import NIL, REST
+
+    rounds = []
+    monkeypatch.setattr(lists, "checkpointed", lambda df, f=lists.checkpointed: rounds.append(1) or f(df))
+    cells = [(f"{i}-{j}", f"{i}-{j + 1}" if j < 2 else NIL) for i in range(300) for j in range(3)] + [("a", "b"), ("b", "c"), ("c", "a"), ("in", "a"), ("lost", "nowhere")]
+    t = spark.createDataFrame([("g", s, REST, o, "node", None) for s, o in cells] + [("g", s, FIRST, s, "lit", None) for s, _ in cells], "ng string, s string, p string, o string, o_kind string, o_dtype string")
+    assert {r["cell"] for r in lists.endless(t).collect()} == {"a", "b", "c", "in"}
+    assert len(rounds) <= 5
+    got = {(r["node"], r["member_idx"], r["o"]) for r in lists.collapse(t).collect()}
+    assert got == {(f"{i}-0", j, f"{i}-{j}") for i in range(300) for j in range(3)} | {("lost", 0, "lost")}
+
+
 def test_validation_never_broadcasts_data(spark, tmp_path):
     """A compressed file's size tells little about its rows: joins build on the ontology's side alone."""
     import re

@@ -39,12 +39,14 @@ from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import Workspace, open_fs
-from .worker import guarded, held
+from .worker import PIECE, guarded, held
 
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000
 COPIES, BOUNDARY, AIM = 4, 1.1, 0.985
 PART, ASK = 4096, 4096
 LEAF, FAN, PER, LEVELS = 4096, 64, 32, 6
+#: Numbers in a table of distances.
+TABLE = 1 << 19
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,12 +64,18 @@ def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
+def _by_rows(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of ``x`` whose distances to all of ``c`` are at most ``TABLE`` numbers."""
+    n = max(1, TABLE // max(1, len(c)))
+    return ((i, min(i + n, len(x))) for i in range(0, len(x), n))
+
+
 def balanced_centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k-means whose clusters of more than twice the mean are split in two while that is possible."""
     r = np.random.default_rng(seed)
     c = x[r.choice(len(x), n, replace=False)]
     for _ in range(rounds):
-        a = _sq(x, c).argmin(1)
+        a = np.concatenate([_sq(x[i:j], c).argmin(1) for i, j in _by_rows(x, c)])
         size = np.bincount(a, minlength=len(c))
         total = np.stack([np.bincount(a, x[:, j], len(c)) for j in range(x.shape[1])], 1)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
@@ -121,6 +129,10 @@ class Centroids:
 
 def _lists_of(x: np.ndarray, c: np.ndarray, copies: int = COPIES) -> np.ndarray:
     """The lists of each vector, nearest first; -1 where it has fewer than ``copies``."""
+    return np.concatenate([_nearest(x[i:j], c, copies) for i, j in _by_rows(x, c)] or [np.zeros((0, min(copies, len(c))), np.int64)])
+
+
+def _nearest(x: np.ndarray, c: np.ndarray, copies: int) -> np.ndarray:
     d = _sq(x, c)
     k = min(copies, len(c))
     near = np.argpartition(d, k - 1, 1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
@@ -151,6 +163,17 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
+def _sent(p: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, low: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``p`` for lists, each row as often as it has lists: in batches of about ``PIECE`` bytes, as a query can be asked in most lists."""
+    n = max(1, int(PIECE * len(p) / max(p.nbytes, 1)))
+    for i in range(0, len(row), n):
+        at = pa.array(row[i : i + n], pa.int64())
+        own = {"list": pa.array(lists[i : i + n], pa.int64()), "vec_id": p.column("vec_id").take(at)}
+        if low is not None:
+            own["low"] = pa.array(low[i : i + n], pa.float64())
+        yield pa.RecordBatch.from_pydict(own | {"embedding": p.column("embedding").take(at)})
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed coordinate by coordinate: equal vectors get equal scores."""
     total = np.zeros(len(q))
@@ -258,8 +281,7 @@ def refined(posted: DataFrame, asked: DataFrame, m2: float, k: int, ws: Workspac
             for p, which, split in _by_list(parts, folder):
                 lists = np.zeros((len(p), 1), np.int64) if split is None else _lists_of(_widen(_matrix(p.column("embedding")), m2), split[0], 2)
                 row, copy = np.nonzero(lists >= 0)
-                at = pa.array(row)
-                yield pa.record_batch([pa.array(which * FAN + lists[row, copy], pa.int64()), p.column("vec_id").take(at), p.column("embedding").take(at)], ["list", "vec_id", "embedding"])
+                yield from _sent(p, row, which * FAN + lists[row, copy])
 
         def ask(parts: Iterator[pa.RecordBatch], folder: str = folder) -> Iterator[pa.RecordBatch]:
             for p, which, split in _by_list(parts, folder):
@@ -269,8 +291,7 @@ def refined(posted: DataFrame, asked: DataFrame, m2: float, k: int, ws: Workspac
                     q = _matrix(p.column("embedding"))
                     d = np.sqrt(_sq(np.concatenate([q, np.zeros((len(q), 1))], 1), split[0]))
                     row, sub = np.nonzero(d <= d.min(1, keepdims=True) * split[1])
-                at = pa.array(row)
-                yield pa.record_batch([pa.array(which * FAN + sub, pa.int64()), p.column("vec_id").take(at), p.column("low").take(at), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
+                yield from _sent(p, row, which * FAN + sub, p.column("low").to_numpy()[row])
 
         if not level:
             # the bound counts sample rows that a query may not reach any more
@@ -307,7 +328,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace, leaf: in
         for p in guarded("posting_lists", parts):
             lists = _lists_of(_widen(_matrix(p.column("embedding")), m2), shared.value[0].points)
             row, copy = np.nonzero(lists >= 0)
-            yield pa.record_batch([pa.array(lists[row, copy], pa.int64()), p.column("vec_id").take(pa.array(row)), p.column("embedding").take(pa.array(row))], ["list", "vec_id", "embedding"])
+            yield from _sent(p, row, lists[row, copy])
 
     posted = ws.save(own.mapInArrow(post, "list long, vec_id long, embedding array<double>"), "lists")
     # as many as there are centroids in memory
@@ -318,7 +339,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace, leaf: in
         for p in guarded("posting_lists", parts):
             q = _matrix(p.column("embedding"))
             q_ids = p.column("vec_id").to_numpy()
-            rows, lists, low = [], [], []
+            rows, lists, low, n = [], [], [], 0
             for i, v in enumerate(q):
                 for least in (1, 8, 64, len(g.points)):
                     got = g.lists(np.append(v, 0.0), ratio, least)
@@ -327,11 +348,13 @@ def search(vectors: DataFrame, is_query: Column, k: int, ws: Workspace, leaf: in
                 chosen = np.zeros(len(g.points) + 1, bool)
                 chosen[got] = True
                 near = np.flatnonzero(chosen[lists_of].any(1) & (ids != q_ids[i]))
-                low += [floor_of(raw[near] @ v, k)] * len(got)
-                lists += got
-                rows += [i] * len(got)
-            at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(lists, pa.int64()), p.column("vec_id").take(at), pa.array(low, pa.float64()), p.column("embedding").take(at)], ["list", "vec_id", "low", "embedding"])
+                low.append(np.full(len(got), floor_of(raw[near] @ v, k)))
+                lists.append(np.array(got, np.int64))
+                rows.append(np.full(len(got), i))
+                n += len(got)
+                if n * p.nbytes >= PIECE * len(p) or i == len(q) - 1:
+                    yield from _sent(p, np.concatenate(rows), np.concatenate(lists), np.concatenate(low))
+                    rows, lists, low, n = [], [], [], 0
 
     asked = ws.save(own.where(is_query).mapInArrow(ask, "list long, vec_id long, low double, embedding array<double>"), "asked")
     posted, asked = refined(posted, asked, m2, k, ws, leaf)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from knotwork.llm import perspectives, posting_lists, warc
@@ -130,3 +131,23 @@ def test_perspectives(spark, turns):
     assert set(got[got.conv_id == 4].perspective) == {"ann <start>system", "bob"} and (got.n_turns <= turns).all()
     assert whole and "user name=unknown" in whole
     assert perspectives.perspectives(df.limit(0)).count() == 0
+
+
+def test_posting_lists_in_bounded_pieces():
+    """Rows that go to most lists leave in batches, and tables of distances are cut by rows."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    x, c = r.normal(size=(20_000, 8)), r.normal(size=(1000, 8))
+    tracemalloc.start()
+    lists = posting_lists._lists_of(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and lists.shape == (20_000, posting_lists.COPIES)
+    assert (lists[::997, 0] == ((x[::997, None] - c) ** 2).sum(2).argmin(1)).all()
+    p = pa.RecordBatch.from_pydict({"vec_id": pa.array(range(500), pa.int64()), "embedding": pa.array(r.normal(size=(500, 64)).tolist())})
+    row, to = np.repeat(np.arange(500), 200), np.tile(np.arange(200), 500)
+    got = list(posting_lists._sent(p, row, to, np.zeros(len(row))))
+    assert max(b.nbytes for b in got) < 3 << 20
+    t = pa.Table.from_batches(got)
+    assert (t.column("vec_id").to_numpy() == row).all() and (t.column("list").to_numpy() == to).all()

@@ -6,7 +6,7 @@ letters in lower case, its case, its punctuation. A document is the mean of its
 figures of how it repeats itself; a two-layer network, written in numpy, scores it; a temperature fitted on
 rows that the network hasn't seen makes the score a probability.
 
-Training: at most ``TRAIN_ROWS`` labelled rows, those with the least hash of doc_id, go to the driver, of each at
+Training: at most ``TRAIN_ROWS`` labelled rows, those with the least hash of doc_id, go to one task, of each at
 most its first ``TRAIN_CHARS`` characters; those bounds don't depend on the input (at most 100 million characters).
 Rows with crc32(doc_id) mod 3 = 1 are held out and never used. Scoring is one pass over whole texts, without an
 exchange, some megabytes at a time; the model is ``ROWS`` x ``DIM`` numbers (16 MB), broadcast once.
@@ -19,10 +19,11 @@ label, then text, first; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import eq
 
 import numpy as np
@@ -76,12 +77,12 @@ def index_vectors() -> np.ndarray:
     """A sparse ternary vector for each row, from a fixed seed."""
     r = np.random.default_rng(7)
     out = np.zeros((ROWS, DIM), np.float32)
-    at = np.argsort(r.random((ROWS, DIM)), axis=1)[:, :NONZERO]
+    at = np.concatenate([np.argsort(r.random((ROWS // 16, DIM)), axis=1)[:, :NONZERO] for _ in range(16)])
     out[np.arange(ROWS)[:, None], at] = r.choice(np.array([-1, 1], np.float32), (ROWS, NONZERO))
     return out / np.sqrt(NONZERO)
 
 
-def word_vectors(texts: list[str], rows: Rows) -> np.ndarray:
+def word_vectors(texts: Iterable[str], rows: Rows) -> np.ndarray:
     """Index vectors plus the normalised context vectors that ``texts`` give."""
     own = index_vectors()
     context, held, n = np.zeros((ROWS, DIM), np.float32), [], 0
@@ -104,7 +105,9 @@ def word_vectors(texts: list[str], rows: Rows) -> np.ndarray:
             held, n = [], 0
     if n > 2 * WINDOW:
         add()
-    return own + context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    context += own
+    return context
 
 
 def pooled(text: str | None, vectors: np.ndarray, rows: Rows) -> np.ndarray:
@@ -170,8 +173,20 @@ class Constant:
         return np.full(len(x), self.p)
 
 
+def fitted(texts: pa.ChunkedArray, y: np.ndarray):
+    """Word vectors and network from texts and their labels."""
+    if len(set(y > 0)) < 2 or len(y) < 20:
+        return np.zeros((ROWS, DIM), np.float32), Constant(float((y > 0).mean()) if len(y) else 0.5)
+    memory = Rows()
+    vectors = word_vectors((t.as_py() for t in texts), memory)
+    x = np.stack([pooled(t.as_py(), vectors, memory) for t in texts]).astype(float)
+    y = (y > 0).astype(float)
+    kept = np.arange(len(y)) % 5 == 0
+    return vectors, Network().fit(x[~kept], y[~kept]).calibrate(x[kept], y[kept])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS):
-    """Word vectors and network from at most ``rows`` labelled rows that aren't held out."""
+    """Word vectors and network from at most ``rows`` labelled rows that aren't held out; a task fits them, the driver gets the model alone."""
     known = thinned(labels.select("doc_id", "quality"), 4 * rows, "doc_id")
     known = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
@@ -179,18 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     own = docs.select(F.col("doc_id").alias("_doc"), F.substring("text", 1, chars).alias("text")).where("text is not null")
     # at most `rows` rows of two numbers: safe to broadcast
     got = own.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
-    got = got.orderBy(F.xxhash64("_id"), "_id", "_y", "text").limit(rows).toPandas()
-    got = got.sort_values(["_id", "_y", "text"], ignore_index=True)
-    y, memory = got["_y"].to_numpy(float), Rows()
-    if len(set(y > 0)) < 2 or len(y) < 20:
-        return np.zeros((ROWS, DIM), np.float32), Constant(float((y > 0).mean()) if len(y) else 0.5)
-    vectors = word_vectors(list(got["text"]), memory)
-    x = np.stack([pooled(t, vectors, memory) for t in got["text"]]).astype(float)
-    del got, memory
-    give_back()
-    y = (y > 0).astype(float)
-    kept = np.arange(len(y)) % 5 == 0
-    return vectors, Network().fit(x[~kept], y[~kept]).calibrate(x[kept], y[kept])
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality", None, bool)
+        if own := [p for p in parts if len(p)]:
+            t = pa.Table.from_batches(own).sort_by([(c, "ascending") for c in ("_id", "_y", "text")])
+            yield pa.record_batch([pa.array([pickle.dumps(fitted(t.column("text"), t.column("_y").to_numpy()), 5)], pa.binary())], ["model"])
+            del t, own
+        give_back()
+
+    # the limit leaves one partition, so one task has all rows
+    model = got.orderBy(F.xxhash64("_id"), "_id", "_y", "text").limit(rows).mapInArrow(task, "model binary").first()
+    return pickle.loads(model["model"]) if model else fitted(pa.chunked_array([], pa.string()), np.zeros(0))
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

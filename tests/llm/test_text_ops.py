@@ -401,3 +401,12 @@ def test_pieces():
     assert worker.held("t", 1, list) is worker.held("t", 1, list)
     kept = worker.held("t", 1, list)
     assert worker.held("u", 1, list) is not kept and worker.held("t", 1, list) is not kept
+
+
+def test_quality_is_not_trained_by_the_driver(spark, monkeypatch):
+    """A task fits the model: the driver's memory doesn't hold the training texts."""
+    monkeypatch.setattr(quality, "word_vectors", None)
+    docs = spark.createDataFrame([(i, ("good calm words " if i % 2 else "BUY !!! now ") * 5) for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    got = quality.score(docs, labels).collect()
+    assert all(r["_good"] == bool(r["doc_id"] % 2) for r in got)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import Workspace, fresh
@@ -253,7 +254,7 @@ def _groups(docs: DataFrame, ws: Workspace) -> DataFrame:
     # a class is a distinct set; its number is that of its row in the written table
     classes = sk.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    listed = classes.select("id", F.posexplode("sketch").alias("rank", "value"))
+    listed = classes.select("id", F.size("sketch").alias("size"), F.posexplode("sketch").alias("rank", "value"))
     counts = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = ws.save(listed.join(counts, "value"), "shared")
     cold = shared.where(f"df <= {COLD}")
@@ -262,9 +263,8 @@ def _groups(docs: DataFrame, ws: Workspace) -> DataFrame:
     cold = cold.select("id", F.explode("own.value").alias("value"))
     pairs = cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), "value").where("a < b").select("a", "b")
     # classes that could link over hot values alone, and each hot list's least one of them
-    hot = shared.where(f"df > {COLD}").select("id", "value")
-    many = hot.groupBy("id").count().join(classes.select("id", F.size("sketch").alias("size")), "id").where(f"count >= {HOT_SHARE} * size").select("id")
-    hot = ws.save(hot.join(many, "id"), "hot")
+    hot = shared.where(f"df > {COLD}").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id")))  # at most K rows each
+    hot = ws.save(hot.where(f"_n >= {HOT_SHARE} * size").select("id", "value"), "hot")
     leads = hot.groupBy("value").agg(F.min("id").alias("lead"))
     stars = ws.save(hot.join(leads, "value").select("lead", "id").distinct(), "stars")
     pairs = pairs.union(stars.where("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))).distinct()
@@ -280,8 +280,12 @@ def _groups(docs: DataFrame, ws: Workspace) -> DataFrame:
         near = members.join(outside, "lead", "left_semi").repartition("id")
         sets = ws.save(_sets(docs, classes, near.select("id").distinct()), "hot-sets")
         sets = ws.save(with_rarest(sets, common_slots(sets)), "rarest")
-        # a member shares a rare value with every set it links to; without one in another component it has no link left
-        tokens = near.join(sets.select("id", F.explode("rare").alias("value")), "id")
+        # a member shares a rare value with every set it links to; without one in another component it has no link left. Each set's
+        # values are held against all components once, and only what two of them have is held against those of each lead
+        own = near.select("id", "root").distinct().join(sets.select("id", "rare"), "id").select("id", "root", F.explode("rare").alias("value"))
+        two = own.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+        own = own.join(two, "value", "left_semi").groupBy("id").agg(F.collect_list("value").alias("rare"))
+        tokens = near.join(ws.save(own, "across"), "id").select("lead", "id", "root", F.explode("rare").alias("value"))
         across = tokens.groupBy("lead", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead", "value")
         open_ = ws.save(tokens.join(across, ["lead", "value"], "left_semi").select("lead", "id", "root").distinct(), "open")
         near = ws.save(open_.join(sets, "id"), "near")

@@ -410,3 +410,20 @@ def test_quality_is_not_trained_by_the_driver(spark, monkeypatch):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
     got = quality.score(docs, labels).collect()
     assert all(r["_good"] == bool(r["doc_id"] % 2) for r in got)
+
+
+def test_near_dup_joins_no_values_of_each_lead(spark, monkeypatch):
+    """Common values are counted without a join, and a set's rare values come once, whatever the number of its leads."""
+    plans, tables = {}, {}
+
+    def save(self, df, name, f=Workspace.save):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        tables[name] = f(self, df, name)
+        return tables[name]
+
+    monkeypatch.setattr(Workspace, "save", save)
+    passages = [words(900 + k, 60) for k in range(3)]
+    rows = [(i, f"{passages[i % 3]} {passages[(i + 1) % 3]} {words(i, 30 + i % 7)}") for i in range(150)]
+    near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).count()
+    assert tables["hot"].count() and "Join" not in plans["hot"]
+    assert tables["across"].groupBy("id").count().where("count > 1").isEmpty() and "explode(rare" in plans["open"]

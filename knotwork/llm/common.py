@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Returns memory to the system that the driver's JVM has freed and its C allocator keeps.
+
+    That allocator has arenas for many threads, and what stays behind in them lies outside the heap and its bound. No result depends on
+    this; a JVM without that command leaves its memory to its allocator."""
+    sc = spark.sparkContext
+    lang, arrays = sc._jvm.java.lang, sc._gateway.new_array
+    kinds, values = arrays(lang.Class, 4), arrays(lang.Object, 4)
+    for i, c in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = lang.Class.forName(c)
+    values[0], values[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # by the interface's method, as the server's own class isn't open to callers
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass
+
+
 class Workspace:
     """A fresh folder below the shared one, for tables that cut lineage.
 
@@ -48,6 +67,7 @@ class Workspace:
         """Writes ``df`` as Parquet and returns what reads it."""
         at = f"{self.path}/{name}"
         df.write.mode("error").parquet(at)
+        trim_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import thinned
+from .common import thinned, trim_driver
 from .worker import EVERY, give_back, held, sizes, spans
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 16_384
@@ -213,6 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     spark: SparkSession = docs.sparkSession
     ship(spark)
     vectors, net = train(docs, labels, rows)
+    trim_driver(spark)
     shared = spark.sparkContext.broadcast((vectors, net))
 
     @F.arrow_udf("double")

@@ -3,6 +3,7 @@
 import corpus_pipeline as P
 import public_tokenizers
 import pytest
+from knotwork.llm.common import Workspace
 from tests.llm.conftest import words
 from tests.llm.test_text_ops import brute_base, brute_groups, brute_leaks
 
@@ -70,3 +71,27 @@ def test_empty_tables(spark, tmp_path):
 
 def test_the_order_of_stages():
     assert [n for n, _ in P.STAGES] == ["quality", "near_dup", "decontaminate", "pii", "sentencepiece"] and P.ORACLE_SQL is None
+
+
+def test_saving_returns_the_drivers_freed_memory(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon:")) / 1024
+
+    ws = Workspace(spark, "trim")
+    for i in range(8):
+        ws.save(spark.range(3), f"before-{i}")
+    own = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    # what lies between blocks still in use stays with the allocator, unless it is told to return it
+    for i, d in enumerate(own):
+        if i % 20:
+            d.end()
+    freed = held()
+    ws.save(spark.range(3), "after")
+    now = held()
+    for d in own[::20]:
+        d.end()
+    assert now < freed - 60, (freed, now)

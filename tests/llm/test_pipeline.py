@@ -84,7 +84,8 @@ def test_saving_returns_the_drivers_freed_memory(spark):
     ws = Workspace(spark, "trim")
     for i in range(8):
         ws.save(spark.range(3), f"before-{i}")
-    own = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    jvm.System.gc()
+    own = [jvm.java.util.zip.Deflater() for _ in range(3000)]
     # what lies between blocks still in use stays with the allocator, unless it is told to return it
     for i, d in enumerate(own):
         if i % 20:
@@ -94,4 +95,5 @@ def test_saving_returns_the_drivers_freed_memory(spark):
     now = held()
     for d in own[::20]:
         d.end()
-    assert now < freed - 60, (freed, now)
+    # freed are some 240 MB; the heap may change by less meanwhile
+    assert now < freed - 100, (freed, now)
